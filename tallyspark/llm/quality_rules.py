@@ -27,8 +27,8 @@ from .stats import BLANK, SYMBOLS, repeated_lines, repeated_words, words_of
 RULES = {
     "symbols": ("n_symbols", 10_000, 1_000, False),
     "dup_lines": ("n_dup_lines", 10_000, 200, False),
-    "repeats": ("n_repeat_words", 10_000, 500, False),
-    "word_length": ("word_chars", 100, 200, True),
+    "repeats": ("n_repeat_words", 10_000, 1_500, False),
+    "word_length": ("word_chars", 100, 300, True),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 

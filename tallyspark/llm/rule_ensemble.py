@@ -203,3 +203,8 @@ def score_quality(docs: DataFrame, model: RuleModel, text: str = "text", into: s
     """docs and its score."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return with_statistics(docs, text).select(*columns, model.column("_stats").alias(into))
+
+
+def filter_good(docs: DataFrame, model: RuleModel, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that score at least least."""
+    return with_statistics(docs, text).where(model.column("_stats") >= least).select([F.col(f"`{c}`") for c in docs.columns])

@@ -3,11 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import packing, rule_ensemble, simhash, toxicity
+from .common import stash, table
 from .queries import tokenizer
 
 
+def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model, fitted on the labelled ones, doesn't find toxic."""
+    return toxicity.filter_civil(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble, fitted on the labelled ones, scores at least 0.5."""
+    model = rule_ensemble.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return rule_ensemble.filter_good(docs, model)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate group the document of the least id; rows that share an id count as one. Rows without an id stay."""
+    found = simhash.near_duplicates(docs.where("doc_id is not null"))
+    firsts = stash(found.where("doc_id = component_id").select("doc_id").distinct(), "firsts")
+    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences (op6's columns)."""
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))

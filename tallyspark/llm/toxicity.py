@@ -1,13 +1,13 @@
 """Toxicity grades by cumulative-link ordinal regression over sparse text features.
 
-Grades are 0 to top. A text's features are its words, lower-cased and without symbols at their ends, hashed into 2^18
-buckets, each with log(1 + count). One weight vector is shared by all thresholds: P(grade > k) is the logistic function
+Grades are 0 to top. A text's features are its words, lower-cased and without symbols at their ends, and how these begin
+(their first 4 to 8 bytes), hashed into 2^20 buckets, each with log(1 + count). One weight vector is shared by all thresholds: P(grade > k) is the logistic function
 of w.x - theta_k, with theta ascending. The expected severity is the sum of these probabilities over k.
 
-The labels only say toxic or not. Their grades are set like this: 0 if not toxic; else by the number of marker words
-in the text, those whose share of toxic texts is at least lift times their share of others: 1 for one or none, 2 for
-two or three, 3 for more. Fitting uses a bounded sample (the sample_rows labelled ids of least hash, a parameter) and
-an L1 penalty, so that few words have weights. Everything else covers all texts, whole.
+The labels only say toxic or not. Their grades are set like this: 0 if not toxic; else by the number of markers
+in the text, features whose share of toxic texts is at least lift times their share of others: the sample's toxic texts
+are split into top equal parts by that number. Fitting uses a bounded sample (the sample_rows labelled ids of least hash, a parameter) and
+an L1 penalty, so that few features have weights. Everything else covers all texts, whole.
 
 Null and empty texts have no features and the severity of the intercept. Repeated rows are scored each; of repeated
 labels the largest counts; repeated texts in the sample count once. Without toxic labels nothing is toxic. An empty
@@ -20,6 +20,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +29,21 @@ from pyspark.sql import functions as F
 
 from .common import arrow, as_bytes, slices
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
+#: Bytes of a word's beginnings.
+BEGINNINGS = range(4, 9)
 #: Symbols that don't belong to a word at its ends.
 EDGES = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 #: Words whose bucket a worker remembers.
 CACHED = 400_000
 
 
-def bucket(word: bytes) -> int:
-    """Bucket of a word, -1 for one of symbols only."""
+def features(word: bytes) -> list[int]:
+    """Buckets of a word and its beginnings; none for one of symbols only."""
     word = word.lower().strip(EDGES)
-    return zlib.crc32(word) % BUCKETS if word else -1
+    if not word:
+        return []
+    return [zlib.crc32(word) % BUCKETS, *(zlib.crc32(b"^" + word[:k]) % BUCKETS for k in BEGINNINGS if k <= len(word))]
 
 
 @dataclass
@@ -58,25 +63,25 @@ class _Scorer:
         self.model, self.known = model, {}
 
     def link(self, text: bytes) -> float:
-        hits = [b for b in map(self._look, text.split()) if b >= 0]
-        return sum(self.model.weights[b] * np.log1p(n) for b, n in sorted(Counter(hits).items())) if hits else 0.0
-
-    def _look(self, word: bytes) -> int:
-        b = self.known.get(word)
-        if b is None:
-            b = bucket(word)
-            b = b if b in self.model.weights else -1
+        hits = Counter(chain.from_iterable(filter(None, map(self._look, text.split()))))
+        return sum(self.model.weights[b] * np.log1p(n) for b, n in sorted(hits.items()))
+
+    def _look(self, word: bytes) -> list[int] | None:
+        """The word's buckets that have a weight."""
+        known = self.known.get(word, False)
+        if known is False:
+            known = [b for b in features(word) if b in self.model.weights] or None
             if len(self.known) >= CACHED:
                 self.known.clear()
-            self.known[word] = b
-        return b
+            self.known[word] = known
+        return known
 
     def links(self, texts: list[bytes]) -> np.ndarray:
         return np.array([self.link(x) for x in texts], float)
 
 
-def fit(rows: list[tuple[list[int], list[int]]], grades: np.ndarray, top: int, penalty: float = 0.002, steps: int = 300, min_texts: int = 5, keep: int = 4096) -> OrdinalModel:
-    """rows: (buckets, counts) of each text. Proximal gradient with momentum on the cumulative-link loss.
+def fit(sizes: np.ndarray, col: np.ndarray, counts: np.ndarray, grades: np.ndarray, top: int, penalty: float = 0.002, steps: int = 300, min_texts: int = 5, keep: int = 4096) -> OrdinalModel:
+    """sizes: features of each text; col, counts: their buckets and counts, text after text. Proximal gradient with momentum on the cumulative-link loss.
 
     Only the keep buckets whose share of toxic texts differs most from their share of others get a weight.
     """
@@ -85,10 +90,7 @@ def fit(rows: list[tuple[list[int], list[int]]], grades: np.ndarray, top: int, p
     theta = np.maximum.accumulate(theta + np.arange(top) * 1e-3)
     if not len(y) or not (y > 0).any() or not (y == 0).any():
         return OrdinalModel({}, [float(t) for t in theta])
-    sizes = np.array([len(b) for b, _ in rows])
-    col = np.concatenate([np.asarray(b, np.int64) for b, _ in rows])
-    val = np.log1p(np.concatenate([np.asarray(c, float) for _, c in rows]))
-    row = np.repeat(np.arange(len(rows)), sizes)
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     in_toxic, in_all = np.bincount(col[(y > 0)[row]], minlength=BUCKETS), np.bincount(col, minlength=BUCKETS)
     gap = np.abs(in_toxic / (y > 0).sum() - (in_all - in_toxic) / (y == 0).sum())
     gap[in_all < min_texts] = -1
@@ -99,7 +101,7 @@ def fit(rows: list[tuple[list[int], list[int]]], grades: np.ndarray, top: int, p
     at = np.full(BUCKETS, -1)
     at[best] = np.arange(len(best))
     ok = at[col] >= 0
-    row, col, val = row[ok], at[col[ok]], val[ok]
+    row, val, col = row[ok], np.log1p(counts[ok]), at[col[ok]]
     n, scale = len(y), np.sqrt(np.bincount(col, val**2, len(best)) / len(y)) + 1e-3
     val = val / np.sqrt(scale[col])  # rare words keep a chance against the penalty
     above = (y[:, None] > np.arange(top)[None, :]).astype(float)
@@ -123,15 +125,17 @@ def fit(rows: list[tuple[list[int], list[int]]], grades: np.ndarray, top: int, p
     return OrdinalModel({int(best[i]): float(w[i] / np.sqrt(scale[i])) for i in kept}, [float(x) for x in t])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, lift: float = 10.0, top: int = 3, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> OrdinalModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, lift: float = 10.0, top: int = 3, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> OrdinalModel:
     """Fit on at most sample_rows labelled rows, those of least hash of the id."""
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             counts = []
             for x in as_bytes(batch, "_text"):
-                c = Counter(map(bucket, x.split()))
-                c.pop(-1, None)
+                c: Counter = Counter()
+                for word, n in Counter(x.split()).items():
+                    for b in features(word):
+                        c[b] += n
                 counts.append(sorted(c.items()))
             yield arrow({
                 "_id": (batch.column("_id"), None), "_y": (batch.column("_y"), None), "_same": (batch.column("_same"), None),
@@ -141,24 +145,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000,
     rows = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_y")).dropna()
     chosen = rows.groupBy("_id").agg(F.max("_y").cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id").withColumn("_same", F.xxhash64(F.coalesce("_text", F.lit(""))))
-    found = texts.mapInArrow(features, f"_id {texts.schema['_id'].dataType.simpleString()}, _y int, _same long, _b array<int>, _n array<int>").toPandas()
-    found = found.sort_values(["_id", "_same"]).drop_duplicates(["_same", "_y"])
-    sample = [(list(b), list(n)) for b, n in zip(found["_b"], found["_n"])]
-    toxic = found["_y"].to_numpy() > 0
-    markers = marker_buckets([b for b, _ in sample], toxic, lift)
-    hits = np.array([sum(b in markers for b in x) for x, _ in sample], int)
-    grades = np.where(toxic, np.clip(1 + hits // 2, 1, top), 0)
-    return fit(sample, grades, top)
-
-
-def marker_buckets(rows: list[list[int]], toxic: np.ndarray, lift: float, min_texts: int = 5) -> set[int]:
-    """Buckets whose share of toxic texts is at least lift times their (smoothed) share of the others, and that enough toxic texts hold."""
-    yes, no = Counter(), Counter()
-    for x, t in zip(rows, toxic):
-        (yes if t else no).update(x)
+    found = texts.mapInArrow(run, f"_id {texts.schema['_id'].dataType.simpleString()}, _y int, _same long, _b array<int>, _n array<int>").toArrow()
+    order = found.select(["_id", "_y", "_same"]).to_pandas().sort_values(["_id", "_same"]).drop_duplicates(["_same", "_y"])
+    found = found.take(pa.array(order.index)).combine_chunks()
+    lists = found["_b"].combine_chunks() if isinstance(found["_b"], pa.ChunkedArray) else found["_b"]
+    sizes = np.diff(lists.offsets.to_numpy()) if len(found) else np.zeros(0, np.int64)
+    col, counts = (found[k].combine_chunks().flatten().to_numpy() for k in ("_b", "_n"))
+    toxic = order["_y"].to_numpy() > 0
+    marks = markers(sizes, col, toxic, lift)
+    hits = np.bincount(np.repeat(np.arange(len(sizes)), sizes), marks[col], len(sizes)).astype(int)
+    edges = np.quantile(hits[toxic], np.arange(1, top) / top) if toxic.any() else []
+    grades = np.where(toxic, 1 + np.searchsorted(edges, hits, side="left"), 0)
+    return fit(sizes, col, counts, grades, top)
+
+
+def markers(sizes: np.ndarray, col: np.ndarray, toxic: np.ndarray, lift: float, min_texts: int = 5) -> np.ndarray:
+    """By bucket, whether its share of toxic texts is at least lift times its (smoothed) share of the others, and enough toxic texts hold it."""
+    of = np.repeat(toxic, sizes)
+    yes, no = np.bincount(col[of], minlength=BUCKETS), np.bincount(col[~of], minlength=BUCKETS)
     n_yes, n_no = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    need = max(min_texts, 0.02 * n_yes)
-    return {b for b, n in yes.items() if n >= need and n / n_yes >= lift * (no[b] + 1) / (n_no + 1)}
+    return (yes >= max(min_texts, 0.02 * n_yes)) & (yes / n_yes >= lift * (no + 1) / (n_no + 1))
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
