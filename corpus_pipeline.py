@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyspark.llm import stages
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", stages.keep_civil),
+    ("quality", stages.keep_good),
+    ("near_dedup", stages.keep_one_of_each),
     ("packing", stages.pack),
 ]
 #: Two fitted models, a tokeniser and a placement that depends on order: SQL can't express the stages.
