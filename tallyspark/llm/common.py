@@ -59,3 +59,11 @@ def as_text(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 def arrow(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
     return pa.record_batch([v if isinstance(v, pa.Array) else pa.array(v, kind) for v, kind in columns.values()], names=list(columns))
+
+
+def sample_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most rows rows of df, those of least hash of the key; a filter on the hash comes first, so that few rows are sorted."""
+    n = df.count()
+    share = min(1.0, (1.2 * rows + 1_000) / max(n, 1))
+    level = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    return df.where(level < int(share * (1 << 30))).orderBy(level, key).limit(rows)

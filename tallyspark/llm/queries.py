@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm, packing, quality_rules, rule_ensemble, simhash, token_counts, toxicity
+from . import bpe, lm, multi_index, packing, quality_rules, quotes, rule_ensemble, simhash, token_counts, toxicity
 from .common import crc_mod, table
 
 
@@ -17,6 +17,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op2_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = rule_ensemble.fit_quality(docs, labels, crc_mod("_id", 3) != 1)
@@ -52,5 +60,5 @@ def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_rule_ensemble, op4_token_counts, op5_quality_rules, op6_packing, op7_simhash, op8_toxicity, op9_sentencepiece, op10_backoff_lm)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multi_index, op2_quotation_links, op3_rule_ensemble, op4_token_counts, op5_quality_rules, op6_packing, op7_simhash, op8_toxicity, op9_sentencepiece, op10_backoff_lm)}
 ORACLES: dict[str, str] = {}

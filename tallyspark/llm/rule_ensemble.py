@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import as_bytes, sample_by_hash, slices
 from .stats import BLANK, repeated_lines, repeated_words, words_of
 
 FEATURES = (
@@ -193,7 +193,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, use: Column | None = None, s
     rows = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_y")).dropna()
     if use is not None:
         rows = rows.where(use)
-    chosen = rows.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
+    chosen = sample_by_hash(rows.groupBy("_id").agg(F.max("_y").alias("_y")), "_id", sample_rows)
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
     found = with_statistics(texts, "_text").select("_id", "_y", "_stats.*").toPandas().sort_values(["_id", *FEATURES])
     return fit(found[list(FEATURES)].to_numpy(float), found["_y"].to_numpy(float))

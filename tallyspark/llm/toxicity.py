@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, as_bytes, slices
+from .common import arrow, as_bytes, sample_by_hash, slices
 
 BUCKETS = 1 << 20
 #: Bytes of a word's beginnings.
@@ -143,7 +143,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, l
             })
 
     rows = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_y")).dropna()
-    chosen = rows.groupBy("_id").agg(F.max("_y").cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
+    chosen = sample_by_hash(rows.groupBy("_id").agg(F.max("_y").cast("int").alias("_y")), "_id", sample_rows)
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id").withColumn("_same", F.xxhash64(F.coalesce("_text", F.lit(""))))
     found = texts.mapInArrow(run, f"_id {texts.schema['_id'].dataType.simpleString()}, _y int, _same long, _b array<int>, _n array<int>").toArrow()
     order = found.select(["_id", "_y", "_same"]).to_pandas().sort_values(["_id", "_same"]).drop_duplicates(["_same", "_y"])
