@@ -7,42 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import RULES, Rule, divergence, left_to_right, names
-from ..sources.roles import double
+from ..functions.rules import RULES, Rule, names, sql
 
 #: Least confidence of inputs to fill or supplement, to check, and that makes a target strong.
 FILL, CHECK, STRONG, UNKNOWN = 0.60, 0.75, 0.70, 0.5
 
 
-def uncertainty(confidence: Column) -> Column:
-    """steps from confidence to relative uncertainty."""
-    return F.when(confidence >= 0.99, 0.01).when(confidence >= 0.90, 0.03).when(confidence >= 0.80, 0.07).when(confidence >= 0.70, 0.12).otherwise(0.20)
-
-
-def propagate(confidences: Sequence[Column], product: bool) -> Column:
-    """the least of the confidences, or their product less 5 %, within 0 and 1."""
-    if product:
-        out = confidences[0]
-        for c in confidences[1:]:
-            out = out * c
-        out = out * 0.95
-    else:
-        out = F.least(*confidences) if len(confidences) > 1 else confidences[0]
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), out))
-
-
-def band(value: Column, confidences: Sequence[Column], product: bool) -> tuple[Column, Column]:
-    """low and high; a positive value's low is at least 0, and sums near zero have no band."""
-    squares = F.lit(0.0)
-    for c in confidences:
-        squares = squares + uncertainty(c) * uncertainty(c)
-    b = double(F.sqrt(squares), 6)
-    low, high = value * (1 - b), value * (1 + b)
-    low = F.when(value > 0, F.greatest(low, F.lit(0.0))).otherwise(low)
-    if not product:
-        near = F.abs(value) < 1e-10
-        low, high = F.when(~near, low), F.when(~near, high)
-    return low, high
+#: Steps from confidence to relative uncertainty. A value's band is its inputs' root of the sum of squares to
+#: either side; a positive value's low is at least 0.
+UNCERTAINTY = "(case when {c} >= 0.99D then 0.01D when {c} >= 0.90D then 0.03D when {c} >= 0.80D then 0.07D when {c} >= 0.70D then 0.12D else 0.20D end)"
 
 
 def covenant(value: Column, low: Column, high: Column, threshold: Column) -> tuple[Column, Column]:
@@ -62,29 +35,34 @@ def pivot(facts: DataFrame, keys: Sequence[str], wanted: Sequence[str]) -> DataF
 def derive(facts: DataFrame, keys: Sequence[str] = ("entity_id", "period"), rules: Sequence[Rule] = RULES) -> DataFrame:
     """What each rule gives for each key: keys, rule_id, canonical_name, value, confidence, kind, divergence, passed, low, high.
 
-    Rules run in the order of priority and see what earlier ones wrote. Each is a projection over one wide row, so the
-    whole chain is one shuffle for the pivot, however many rules there are.
+    Rules run in the order of priority and see what earlier ones wrote. Each is a pair of expressions over one wide row
+    (a new version of its target's columns), so the whole chain is one shuffle for the pivot and one projection for each
+    priority, however many rules there are.
     """
     rules = sorted(rules, key=lambda r: r.priority)
     wanted = list(dict.fromkeys(n for r in rules for n in [r.target, *names(r.formula)]))
-    rows, results = pivot(facts, keys, wanted), []
+    rows, now = pivot(facts, keys, wanted), {n: n for n in wanted}  # now: suffix of each name's current columns
+    results, new = [], []
     for i, r in enumerate(rules):
-        inputs = names(r.formula)
-        conf = [F.col(f"c_{n}") for n in inputs]
-        value = left_to_right(r.formula, lambda n: F.col(f"v_{n}"))
-        least = F.least(*conf) if len(conf) > 1 else conf[0]
-        there = F.lit(True)
-        for n in inputs:
-            there &= F.col(f"v_{n}").isNotNull()
-        target, strength = F.col(f"v_{r.target}"), F.col(f"c_{r.target}")
-        strong = target.isNotNull() & (strength >= STRONG)
-        kind = F.when(~there | value.isNull(), None).when(strong & (least >= CHECK), "consistency").when(~strong & (least >= FILL), F.when(target.isNull(), "gap_fill").otherwise("supplement"))
-        low, high = band(value, conf, r.product)
-        apart = divergence(target, value, 0.001)
-        rows = rows.withColumn(f"r_{i}", F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.target).alias("canonical_name"), value.alias("value"), propagate(conf, r.product).alias("confidence"), kind.alias("kind"), apart.alias("divergence"), (apart <= r.tolerance).alias("passed"), low.alias("low"), high.alias("high")))
-        wins = F.col(f"r_{i}.kind").isin("gap_fill", "supplement")
-        rows = rows.withColumns({f"v_{r.target}": F.when(wins, F.col(f"r_{i}.value")).otherwise(target), f"c_{r.target}": F.when(wins, F.col(f"r_{i}.confidence")).otherwise(strength)})
+        ins = [now[n] for n in names(r.formula)]
+        x, target, strength = f"x_{i}", f"v_{now[r.target]}", f"c_{now[r.target]}"
+        strong = f"({target} is not null and {strength} >= {STRONG}D)"
+        least = f"least({', '.join('c_' + n for n in ins)})" if len(ins) > 1 else f"c_{ins[0]}"
+        conf = " * ".join(f"c_{n}" for n in ins) + " * 0.95D" if r.product else least
+        apart = f"abs({target} - {x}) / greatest(abs({target}), abs({x}), 0.001D)"
+        low = f"case when {x} > 0 then greatest({x} * (1 - b_{i}), 0D) else {x} * (1 - b_{i}) end"
+        flat = "false" if r.product else f"abs({x}) < 1e-10D"  # sums near zero have no band
+        new += [
+            f"{sql(r.formula, lambda n: 'v_' + now[n])} as {x}",
+            f"cast(round(cast(sqrt({' + '.join(f'{UNCERTAINTY.format(c=f"c_{n}")} * {UNCERTAINTY.format(c=f"c_{n}")}' for n in ins)}) as decimal(30,10)), 6) as double) as b_{i}",
+            f"""named_struct('rule_id', '{r.id}', 'canonical_name', '{r.target}', 'value', {x}, 'confidence', greatest(0D, least(1D, {conf})),
+                'kind', case when {' or '.join(f'v_{n} is null' for n in [*ins])} or {x} is null then null when {strong} and {least} >= {CHECK}D then 'consistency'
+                when not {strong} and {least} >= {FILL}D then case when {target} is null then 'gap_fill' else 'supplement' end end,
+                'divergence', {apart}, 'passed', {apart} <= {r.tolerance}D, 'low', case when not {flat} then {low} end, 'high', case when not {flat} then {x} * (1 + b_{i}) end) as r_{i}""",
+        ]
+        now[r.target] = f"{r.target}_{i}"
+        new += [f"case when r_{i}.kind in ('gap_fill', 'supplement') then r_{i}.{of} else {was} end as {c}_{now[r.target]}" for c, of, was in (("v", "value", target), ("c", "confidence", strength))]
         results.append(f"r_{i}")
         if i + 1 == len(rules) or rules[i + 1].priority != r.priority:
-            rows = rows.select(*keys, *[c for n in wanted for c in (f"v_{n}", f"c_{n}")], *results)
-    return rows.select(*keys, F.inline(F.array(*results))).where("kind is not null")
+            rows, new = rows.selectExpr("*", *new), []
+    return rows.selectExpr(*keys, f"inline(array({', '.join(results)}))").where("kind is not null")
