@@ -64,8 +64,7 @@ ORDERED = ["3.5", "FY2022", "2022", "H1 2022", "Q1 2022", "Q4 2022", "Jan-22", "
 def period_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O02 on a small list that holds each kind."""
     rows = spark.createDataFrame([(x,) for x in sorted(ORDERED)], "raw string").withColumn("p", periods.normalize(F.col("raw")))
-    key = F.struct(F.col("k.unknown"), F.col("k.family"), F.col("k.year"), F.col("k.forecast"), F.col("k.grain"), F.col("k.part"), F.col("k.raw"))
-    return rows.withColumn("k", periods.sort_key(F.col("raw"), F.col("p"))).select(F.row_number().over(Window.orderBy(key)).alias("place"), "raw")
+    return rows.withColumn("k", periods.sort_key(F.col("raw"), F.col("p"))).select(F.row_number().over(Window.orderBy("k")).alias("place"), "raw")
 
 
 @query("""WITH a AS (SELECT lower(p_name) AS alias, p_brand AS canonical_name, MIN(p_type) AS own, MIN(p_size) AS priority FROM part GROUP BY 1, 2), r AS (SELECT DISTINCT lower(p_name) AS label, p_type AS category FROM part),
