@@ -22,10 +22,11 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, slices, stash
+from .common import slices, stash
 from .rounds import Remembered, Rounds
 
 #: Chunks, and words inside chunks, whose ids a worker remembers.
@@ -68,8 +69,7 @@ class ChunkEncoder:
         seg, sym = self.rounds.run(np.repeat(np.arange(len(raw)), lens), sym)
         return sym.astype(np.uint32), np.bincount(seg, minlength=len(raw))
 
-    def _split(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        texts = [x.decode() for x in chunks]
+    def _split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts = [_WORD.findall(x.lower()) if _SIMPLE.fullmatch(x) and "<|" not in x else None for x in texts]
         odd = [x for x, p in zip(texts, parts) if p is None]
         odd = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch(odd, add_special_tokens=False)] if odd else []
@@ -93,9 +93,19 @@ class ChunkEncoder:
         return out, lens
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [x.encode().split() for x in texts]  # bytes split at ASCII white space only
-        self.chunks.know(set(chain.from_iterable(parts)))
-        return [self.chunks.joined(x) for x in parts]
+        ids, lens = self.encode_column(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(lens)[:-1])
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has; null counts as empty. Each distinct chunk is looked up once."""
+        parts = pc.ascii_split_whitespace(texts.fill_null(""))
+        flat = parts.flatten().dictionary_encode()
+        keys = flat.dictionary.to_pylist()
+        self.chunks.know(set(keys))
+        at = np.fromiter(map(self.chunks.at.__getitem__, keys), np.int64, len(keys))[flat.indices.to_numpy()]
+        ends = np.r_[0, np.cumsum(self.chunks.lens[at], dtype=np.int64)]
+        cuts = np.r_[0, np.cumsum(pc.list_value_length(parts).to_numpy(), dtype=np.int64)]
+        return self.chunks.spread(at), np.diff(ends[cuts])
 
 
 def _byte_chars() -> list[str]:
@@ -170,13 +180,15 @@ def pack(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text"
             return pa.record_batch([pa.array(c, k) for c, k in zip([*cols[:5], [part] * len(rows), *cols[5:]], kinds)], names=["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))])
 
         kind = None
-        for batch in slices(batches):
+        for batch in slices(batches, 1024):
             kind, ready = batch.schema.field("doc_id").type, []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), _worker[model].encode(as_text(batch))):
-                data, n = np.append(ids, np.uint32(close)).astype("<u4").tobytes(), len(ids) + 1
+            ids, lens = _worker[model].encode_column(batch.column("text"))
+            data = memoryview(np.insert(ids, np.cumsum(lens), np.uint32(close)).astype("<u4").tobytes())
+            for doc, n in zip(batch.column("doc_id").to_pylist(), (lens + 1).tolist()):
+                own, data = data[: 4 * n], data[4 * n :]
                 pieces, sealed = space.place(n)
                 for w, offset, start, length in pieces:
-                    raw = data[4 * start : 4 * (start + length)]
+                    raw = bytes(own[4 * start : 4 * (start + length)])
                     held.setdefault(w, []).append((doc, start, length, zlib.crc32(raw), n, w, offset, raw))
                 for w in sealed:
                     ready += held.pop(w) if keep_ids else [(*r[:-1], None) for r in held.pop(w)]
