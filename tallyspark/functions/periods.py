@@ -57,18 +57,23 @@ def normalize(raw: Column) -> Column:
     return out
 
 
-#: Kinds in the order of sorting within a year.
-KINDS = ["phase", "relative", "cod", "fiscal_year", "fiscal_year_end", "calendar_year", "year", "half", "quarter", "month", "stub", "trailing"]
+#: Families of kinds in the order of sorting (numbers are 0, dated kinds 1), and parts of a year behind whole years.
+FAMILIES = {"relative": 2, "phase": 3, "cod": 4, "stub": 5, "trailing": 6}
+GRAINS = {"half": 1, "quarter": 2, "month": 3}
+
+
+def _among(kind: Column, places: dict[str, int], other: int) -> Column:
+    out = F
+    for name, place in places.items():
+        out = out.when(kind == name, place)
+    return out.otherwise(other)
 
 
 def sort_key(raw: Column, parsed: Column) -> Column:
-    """Numbers first by value, then periods by kind's family, year and part, forecasts behind, then all other text."""
-    number = raw.try_cast("double") if hasattr(raw, "try_cast") else raw.cast("double")
-    family = F.when(parsed["kind"].isin("phase", "relative", "cod"), 2).when(parsed["kind"] == "trailing", 4).otherwise(3)
-    sub = F.coalesce(parsed["sub"], F.lit(0))
-    grain = F.array_position(F.array(*map(F.lit, KINDS)), parsed["kind"]).cast("int")
-    bare = number.isNotNull() & parsed.isNull()
+    """Numbers by value, then periods by family, year, grain and part, actuals before plain ones before forecasts, then all other text; ties by the text."""
+    number, zero = raw.try_cast("double"), F.lit(0)
+    bare = parsed.isNull() & number.isNotNull()
     return F.struct(
-        F.when(parsed.isNull() & number.isNull(), 1).otherwise(0).alias("unknown"), F.when(bare, 1).otherwise(family).alias("family"), F.coalesce(parsed["year"], F.lit(0)).alias("year"), F.coalesce(grain, F.lit(0)).alias("grain"), F.when(bare, number).otherwise(sub.cast("double")).alias("part"),
-        F.when(parsed["is_forecast"], 1).otherwise(0).alias("forecast"), raw.alias("raw"),
+        (parsed.isNull() & number.isNull()).cast("int").alias("unknown"), F.when(bare, 0).otherwise(_among(parsed["kind"], FAMILIES, 1)).alias("family"), F.coalesce(parsed["year"], zero).alias("year"), _among(parsed["kind"], GRAINS, 0).alias("grain"),
+        F.when(bare, number).otherwise(F.coalesce(parsed["sub"], zero).cast("double")).alias("part"), F.when(parsed["is_actual"], 0).when(parsed["is_forecast"], 2).otherwise(1).alias("forecast"), raw.alias("raw"),
     )

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text
 
@@ -172,7 +173,7 @@ def evaluate(formula: str, values: dict[str, float]) -> float | None:
         return None
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def formula_value(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """evaluate over columns: formula, and a map from reference to number of the cells it needs."""
     for f, v in batches:

@@ -56,8 +56,8 @@ def period_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", "raw", "p.normalized", "p.kind", "p.year", "p.is_forecast", "p.confidence")
 
 
-#: In the order of time: numbers, periods by year with the year's parts after it and forecasts behind, other text.
-ORDERED = ["3.5", "FY2022", "2022", "H1 2022", "Q1 2022", "Q4 2022", "Jan-22", "FY2023", "2023", "FY2023E", "Q1 2023", "Jan-23", "foo"]
+#: In the order of time: numbers, periods by year with the year's parts after it, forecasts behind, equal ones by their text; other text.
+ORDERED = ["3.5", "2022", "FY2022", "H1 2022", "Q1 2022", "Q4 2022", "Jan-22", "2023", "FY2023", "FY2023E", "Q1 2023", "Jan-23", "Year 1", "foo"]
 
 
 @query(f"SELECT CAST(i AS INT) AS place, x AS raw FROM (SELECT unnest({ORDERED!r}) AS x, unnest(range(1, {len(ORDERED) + 1})) AS i)")
