@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import aggregates, facts, rules, series, sheets, texts  # noqa: F401
+from .plans import aggregates, facts, rules, series, sheets, texts, windows  # noqa: F401
 from .plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
