@@ -32,6 +32,8 @@ from .common import arrow, as_bytes, sample_by_hash, slices
 BUCKETS = 1 << 20
 #: Bytes of a word's beginnings.
 BEGINNINGS = range(4, 9)
+#: From this probability on a text counts as beyond a threshold: the L1 penalty draws probabilities towards the share of toxic texts, far below 0.5.
+CUTOFF = 0.3
 #: Symbols that don't belong to a word at its ends.
 EDGES = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 #: Words whose bucket a worker remembers.
@@ -168,13 +170,13 @@ def markers(sizes: np.ndarray, col: np.ndarray, toxic: np.ndarray, lift: float,
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, expected_severity, grade (the likeliest number of thresholds exceeded) and toxic (P(grade > 0) >= 0.5)."""
+    """doc_id, expected_severity, grade (how many thresholds are exceeded with probability CUTOFF or more) and toxic (grade > 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
         for batch in slices(batches):
             p = model.exceed(scorer.links(as_bytes(batch)))
-            yield arrow({"doc_id": (batch.column("doc_id"), None), "expected_severity": (p.sum(1), pa.float64()), "grade": ((p >= 0.5).sum(1).astype(np.int32), pa.int32()), "toxic": (p[:, 0] >= 0.5, pa.bool_())})
+            yield arrow({"doc_id": (batch.column("doc_id"), None), "expected_severity": (p.sum(1), pa.float64()), "grade": ((p >= CUTOFF).sum(1).astype(np.int32), pa.int32()), "toxic": (p[:, 0] >= CUTOFF, pa.bool_())})
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, expected_severity double, grade int, toxic boolean")
@@ -186,7 +188,7 @@ def filter_civil(docs: DataFrame, model: OrdinalModel, text: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
         for batch in slices(batches):
-            keep = model.exceed(scorer.links(as_bytes(batch, text)))[:, 0] < 0.5
+            keep = model.exceed(scorer.links(as_bytes(batch, text)))[:, 0] < CUTOFF
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
