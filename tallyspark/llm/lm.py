@@ -1,10 +1,12 @@
 """Language-model scores by a weighted backoff automaton.
 
-Counting. All words of the training texts are counted exactly, and stay a table. Of n-grams, those are kept that make
-up at least share of the training tokens (and occur at least twice), so at most 1 / share of each order are kept, at
-any corpus size: that bounds what is broadcast. An n-gram is only counted if its two parts of n - 1 words are kept,
-which loses none, as they occur at least as often. Words of a text stand between a begin, which is never predicted, and
-an end, which is a token.
+Counting. All words of the training texts are counted exactly, and all n-grams that occur at least twice are kept, at
+any corpus size. Nothing that grows is broadcast or gathered: words and n-grams are 64-bit hashes, and each belongs to
+one of as many parts as the tokens need. Texts are cut into blocks of about BLOCK tokens. A block sends each part the
+n-grams it has with their counts; a part adds up. What follows a context is summed up by the context's part. Then each
+block asks the parts for the counts and backoff weights of its own n-grams, and walks its own automaton of them, which
+has every arc of the whole automaton that its texts can take. Two of N n-grams share a hash with a chance of about
+N^2 / 2^65.
 
 Model. Interpolated absolute discounting: p(w | h) = (c(hw) - d) / c(h) + b(h) p(w | h'), the first term only for kept
 hw, where h' is h without its first word and b(h) is what the kept terms leave. Without context, p is the base's
@@ -12,8 +14,7 @@ additive smoothing, which also covers words that were never seen. Probabilities
 
 Automaton. States are kept n-grams below the highest order, and the empty one. A state has an arc for each kept
 continuation, and a failure arc with weight log b(h) to the state of h'. One traversal from left to right carries the
-state and adds weights. Words that aren't kept lead from the empty state to itself; their own probability needs counts
-of any word there is, so it is added by a join of the texts' rare words with the table of counts.
+state and adds weights. Words that aren't kept lead from the empty state to itself; their own probability is added.
 
 Null and empty texts hold the end only. Repeated rows are scored each and counted each. An empty table gives no rows;
 without training texts all words are unknown. Other columns are ignored.
@@ -38,7 +39,8 @@ from .common import arrow, slices, stash
 END, END_ID, BEGIN_ID = b"\n", 0, 1
 #: Distinct words, or n-grams, that a counting task holds before it hands on what it has.
 HELD_WORDS, HELD_GRAMS = 1_000_000, 4_000_000
-
+#: Tokens of a block, and for each part, and rows of texts that are split at a time.
+BLOCK, SPLIT = 1 << 20, 64
 
 #: Words of a text that are walked one after another; the runs of all texts of a block are walked side by side.
 RUN = 128
@@ -162,13 +164,17 @@ class Base:
         return np.log10((np.asarray(n) + self.extra) / (self.tokens + self.extra * (self.distinct + 1)))
 
 
+DISCOUNT = 0.75
+
+
 class Automaton:
     """Arcs (state * width + word to arc), and for each arc its weight and next state; failure arcs by state.
 
     States: 0 is empty, then kept n-grams order by order below the highest.
     """
 
-    def __init__(self, grams: Grams, base: Base, discount: float = 0.75) -> None:
+    def __init__(self, grams: Grams, base: Base, discount: float = DISCOUNT, backs: list[np.ndarray] | None = None) -> None:
+        """backs: b of the n-grams by order from 1, where grams are only some of those that b was taken from."""
         width, orders = grams.width, len(grams.counts)
         first = [0, *np.cumsum([1, *(len(c) for c in grams.counts)]).tolist()]  # state of number 0 of each order
         p = [10 ** base.log(grams.counts[0])]
@@ -177,8 +183,7 @@ class Automaton:
         for k, keys in enumerate(grams.keys, start=1):
             prefix, word = keys // width, keys % width
             alpha = (grams.counts[k] - discount) / grams.counts[k - 1][prefix]
-            b = 1 - np.bincount(prefix, alpha, minlength=len(grams.counts[k - 1]))
-            b = np.maximum(b, 1e-12)
+            b = backs[k - 1] if backs else np.maximum(1 - np.bincount(prefix, alpha, minlength=len(grams.counts[k - 1])), 1e-12)
             back.append(b)
             cut = word if k == 1 else np.searchsorted(grams.keys[k - 2], shorter[k - 1][prefix] * width + word)
             shorter.append(cut.astype(np.int64))
@@ -237,7 +242,7 @@ class Automaton:
 
 
 def kept_grams(texts: DataFrame, counts: DataFrame, least: int, order: int) -> Grams:
-    """Words and n-grams that occur at least least times; at most tokens / least of each order reach the driver."""
+    """Words and n-grams that occur at least least times, all on the driver: for small texts, as a check of scores()."""
     sc = texts.sparkSession.sparkContext
     common = counts.where(F.col("n") >= least).toArrow().to_pydict()
     known = dict(zip(common["word"], common["n"]))
@@ -255,49 +260,229 @@ def kept_grams(texts: DataFrame, counts: DataFrame, least: int, order: int) -> G
     return grams
 
 
-_worker: dict = {}
+BEGIN = b"\t"
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
 
-def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", order: int = 3, share: float = 1e-6) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; rows that held_out doesn't mark are learned from."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out"))
-    training = rows.where("not held_out").select("text")
-    counts = stash(word_counts(training), "words")
-    totals = counts.agg(F.sum("n"), F.count("*")).first()
-    base = Base(int(totals[0] or 0), int(totals[1] or 0))
-    least = max(2, int(np.ceil(share * base.tokens)))
-    grams = kept_grams(training, counts, least, order)
-    sent = docs.sparkSession.sparkContext.broadcast((grams, base))
+def mixed(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of an n-gram from those of its prefix and its last word."""
+    x = prefix * np.uint64(0x9E3779B97F4A7C15) + word
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """Blocks of rows (doc_id, held_out, text): ids and marks, hashes of distinct words, words by number, where texts end, and sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if _worker.get("of") is not sent.value:
-            _worker.update(of=sent.value, automaton=Automaton(*sent.value))
-        (g, b), automaton = sent.value, _worker["automaton"]
-        logs, other, row = b.log(g.counts[0]), g.width - 1, TaskContext.get().partitionId() << 40
-        for batch in slices(batches):
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in slices(batches, SPLIT):
             keys, codes, ends = coded(batch)
-            number, n = g.ids(keys), batch.num_rows
-            lens = np.diff(np.r_[0, ends])
-            ids, owner = number[codes], np.repeat(np.arange(n), lens)
-            known = ids >= 0
-            # words that aren't kept: how often each text has each
-            pairs, times = np.unique(owner[~known] * len(keys) + codes[~known], return_counts=True)
-            cuts = np.searchsorted(pairs, np.arange(n + 1) * len(keys))
-            kept = np.where(known, ids, other)
-            of_known = lambda x: np.bincount(owner[known], x, minlength=n)
-            rare = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array([keys[i] for i in (pairs % len(keys)).tolist()], pa.binary()), pa.array(times, pa.int64())], names=["word", "times"]))
-            n_known = of_known(None).astype(np.int64) if b.tokens else np.zeros(n, np.int64)
-            yield arrow({"row": (range(row, row + n), pa.int64()), "doc_id": (batch.column("doc_id"), None), "held_out": (batch.column("held_out"), None), "n_tokens": (lens, pa.int64()), "known": (n_known, pa.int64()), "base": (of_known(logs[ids[known]]), pa.float64()), "path": (automaton.scores(kept, ends), pa.float64()), "rare": (rare, None)})
-            row += n
+            held.append((hashes(keys), codes, ends, batch.column("doc_id"), batch.column("held_out")))
+            size += len(codes)
+            if size >= BLOCK:
+                yield _block(number, held)
+                number, held, size = number + 1, [], 0
+        if held:
+            yield _block(number, held)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"block long, doc_id array<{kind}>, held_out array<boolean>, words binary, codes binary, ends binary, tokens long, training long")
+
+
+def _block(number: int, held: list[tuple]) -> pa.RecordBatch:
+    words, at = np.unique(np.concatenate([h for h, *_ in held]), return_inverse=True)
+    base, places, lens = np.cumsum([0, *(len(h[0]) for h in held)]), [], []
+    for (_, codes, ends, *_), first in zip(held, base):
+        places.append(at[codes + first])
+        lens.append(np.diff(np.r_[0, ends]))
+    codes, ends = np.concatenate(places), np.cumsum(np.concatenate(lens))
+    ids, marks = (pa.chunked_array([h[i] for h in held]).combine_chunks() for i in (3, 4))
+    training = int(np.diff(np.r_[0, ends])[_training(marks)].sum())
+    of = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    packed = {"words": words, "codes": codes.astype(np.int32), "ends": ends.astype(np.int64)}
+    return arrow({"block": ([number], pa.int64()), "doc_id": (of(ids), None), "held_out": (of(marks), None)} | {k: ([v.tobytes()], pa.binary()) for k, v in packed.items()} | {"tokens": ([len(codes)], pa.int64()), "training": ([training], pa.int64())})
+
+
+def _training(marks: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.invert(marks), False).to_numpy(zero_copy_only=False)
+
+
+def _unpacked(value: pa.Scalar, kind: type) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), kind)
+
+
+def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(_unpacked(x, kind) for x in table.column(name))])
+
+
+def _runs(words: np.ndarray, codes: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Words by number with each text's begin (number len(words)); by order, hashes of the n-grams that end at each place, and where there are any."""
+    ids = np.insert(codes, np.r_[0, ends[:-1]], len(words))
+    own, inner = np.append(words, hashes([BEGIN]))[ids], ids != len(words)
+    keys, there = [own], [np.ones(len(ids), bool)]
+    for _ in range(1, order):
+        keys.append(np.r_[np.zeros(1, np.uint64), mixed(keys[-1][:-1], own[1:])])
+        there.append(np.r_[False, there[-1][:-1] & inner[1:]])
+    return ids, keys, there
+
+
+def _sent(parts: int, keys: np.ndarray, block: int, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row for each part that keys fall into."""
+    part = keys % np.uint64(parts)
+    by = np.lexsort((keys, part))
+    cuts = np.searchsorted(part[by], np.arange(parts + 1, dtype=np.uint64))
+    at = np.flatnonzero(np.diff(cuts))
+    split = lambda x: [x[by[cuts[i] : cuts[i + 1]]].tobytes() for i in at]
+    yield arrow({"part": (at, pa.int64()), "block": (np.full(len(at), block), pa.int64())} | {k: (split(v), pa.binary()) for k, v in {"keys": keys, **columns}.items()})
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {n: batch.column(n)[i] for n in batch.schema.names}
+
+
+def counted(found: DataFrame, parts: int, least: int, order: int) -> DataFrame:
+    """For each part, ascending hashes of the words and kept n-grams of training texts, their prefixes' hashes, orders, counts; how many are words."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _each(batches):
+            ends = _unpacked(r["ends"], np.int64)
+            _, keys, there = _runs(_unpacked(r["words"], np.uint64), _unpacked(r["codes"], np.int32), ends, order)
+            learned = np.repeat(_training(r["held_out"].values), np.diff(np.r_[0, ends]) + 1)
+            out = []
+            for k in range(order):
+                at = np.flatnonzero(there[k] & learned)
+                own, first, n = np.unique(keys[k][at], return_index=True, return_counts=True)
+                out.append((own, keys[k - 1][at[first] - 1] if k else np.zeros(len(own), np.uint64), np.full(len(own), k + 1, np.int8), n.astype(np.int32)))
+            own, prefixes, orders, n = map(np.concatenate, zip(*out))
+            yield from _sent(parts, own, r["block"].as_py(), prefixes=prefixes, orders=orders, n=n)
+
+    def add(table: pa.Table) -> pa.Table:
+        keys, first, at = np.unique(_joined(table, "keys", np.uint64), return_index=True, return_inverse=True)
+        n = np.bincount(at, _joined(table, "n", np.int32), minlength=len(keys)).astype(np.int64)
+        orders = _joined(table, "orders", np.int8)[first]
+        words = int(((orders == 1) & (keys != hashes([BEGIN]))).sum())
+        keep = (orders == 1) | (n >= least)
+        packed = {"keys": keys, "prefixes": _joined(table, "prefixes", np.uint64)[first], "orders": orders, "n": n}
+        return pa.table({"part": table.column("part")[:1], **{k: pa.array([v[keep].tobytes()], pa.binary()) for k, v in packed.items()}, "words": pa.array([words], pa.int64())})
+
+    sent = found.mapInArrow(send, "part long, block long, keys binary, prefixes binary, orders binary, n binary")
+    return sent.groupBy("part").applyInArrow(add, "part long, keys binary, prefixes binary, orders binary, n binary, words long")
+
+
+#: In the place of a block: the row holds counts, or sums of the counts after contexts and their number.
+COUNTS, AFTER = -1, -2
+MESSAGE = "part long, block long, keys binary, a binary, b binary"
+
+
+def answers(found: DataFrame, grams: DataFrame, parts: int, order: int) -> DataFrame:
+    """block, keys, n and back (b) of the words and kept n-grams that each block has; several rows for a block."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _each(batches):
+            _, keys, there = _runs(_unpacked(r["words"], np.uint64), _unpacked(r["codes"], np.int32), _unpacked(r["ends"], np.int64), order)
+            own = np.concatenate([np.unique(k[t]) for k, t in zip(keys, there)])
+            none = np.zeros((len(own), 0), np.int64)
+            yield from _sent(parts, own, r["block"].as_py(), a=none, b=none)
+
+    def after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _each(batches):
+            longer = _unpacked(r["orders"], np.int8) > 1
+            own, at, times = np.unique(_unpacked(r["prefixes"], np.uint64)[longer], return_inverse=True, return_counts=True)
+            total = np.bincount(at, _unpacked(r["n"], np.int64)[longer], minlength=len(own)).astype(np.int64)
+            yield from _sent(parts, own, AFTER, a=total, b=times.astype(np.int64))
+
+    def reply(table: pa.Table) -> pa.Table:
+        kind = table.column("block").to_numpy()
+        rows = lambda x: table.filter(pa.array(kind == x))
+        counts, sums, asked = rows(COUNTS), rows(AFTER), table.filter(pa.array(kind >= 0))
+        keys, n, of = _joined(counts, "keys", np.uint64), _joined(counts, "a", np.int64), _joined(sums, "keys", np.uint64)
+        at = np.searchsorted(keys, of)
+        total, times = (np.bincount(at, _joined(sums, c, np.int64), minlength=len(keys)) for c in "ab")
+        back = np.maximum(1 - (total - DISCOUNT * times) / np.maximum(n, 1), 1e-12)
+        out: dict[str, list] = {"block": [], "keys": [], "n": [], "back": []}
+        for block, value in zip(asked.column("block").to_pylist(), asked.column("keys")):
+            own = _unpacked(value, np.uint64)
+            place = np.searchsorted(keys, own)
+            place = place[(place < len(keys)) & (keys[np.minimum(place, len(keys) - 1)] == own)] if len(keys) else place[:0]
+            if len(place):
+                for k, v in (("block", block), ("keys", keys[place].tobytes()), ("n", n[place].tobytes()), ("back", back[place].tobytes())):
+                    out[k].append(v)
+        return pa.table({k: pa.array(v, pa.int64() if k == "block" else pa.binary()) for k, v in out.items()})
+
+    counts = grams.select("part", F.lit(COUNTS).cast("long").alias("block"), "keys", F.col("n").alias("a"), F.lit(b"").alias("b"))
+    told = found.mapInArrow(ask, MESSAGE).unionByName(counts).unionByName(grams.mapInArrow(after, MESSAGE))
+    return told.groupBy("part").applyInArrow(reply, "block long, keys binary, n binary, back binary")
+
+
+def local(words: np.ndarray, codes: np.ndarray, ends: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray], base: Base, least: int, order: int) -> tuple[Automaton, np.ndarray, np.ndarray]:
+    """Automaton of a block, the number in it of each distinct word, and how often each occurs; known: hashes, counts and b of the words and kept n-grams."""
+    by = np.argsort(known[0])
+    hashed, counts, backs = (x[by] for x in known)
+
+    def find(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(hashed, keys), max(len(hashed) - 1, 0))
+        return at, hashed[at] == keys if len(hashed) else np.zeros(len(keys), bool)
+
+    at, hit = find(np.r_[words, hashes([BEGIN])])
+    n, b = (np.where(hit, x[at], y) if len(x) else np.full(len(at), y) for x, y in ((counts, 0), (backs, 1.0)))
+    end = int(np.searchsorted(words, hashes([END])[0]))
+    kept = np.flatnonzero((n[:-1] >= least) & (np.arange(len(words)) != end))
+    listed = np.r_[end, len(words), kept]
+    number = np.full(len(words) + 1, len(listed))
+    number[listed] = np.arange(len(listed))
+    grams = Grams(range(len(listed)), [n[listed]], [])
+    weights = [b[listed]]
+    ids, keys, there = _runs(words, codes, ends, order)
+    word = number[ids]
+    own = np.where(word < len(listed), word, -1)
+    for k in range(1, order):
+        places = np.flatnonzero(there[k] & np.r_[False, own[:-1] >= 0] & (word < len(listed)))
+        at, hit = find(keys[k][places])
+        places, at = places[hit], at[hit]
+        found, first, back = np.unique(own[places - 1] * grams.width + word[places], return_index=True, return_inverse=True)
+        own = np.full(len(ids), -1)
+        own[places] = back
+        grams.keys.append(found)
+        grams.counts.append(counts[at[first]])
+        weights.append(backs[at[first]])
+    return Automaton(grams, base, backs=weights), number[:-1], n[:-1]
+
+
+def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", order: int = 3, share: float = 0.0) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; rows that held_out doesn't mark are learned from.
+
+    N-grams that occur at least twice are kept; share asks for a share of the training tokens beyond that.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
+    found = stash(blocks(rows), "blocks")
+    sizes = found.agg(F.sum("tokens"), F.sum("training")).first()
+    tokens, least = int(sizes[1] or 0), max(2, int(np.ceil(share * (sizes[1] or 0))))
+    parts = max(1, -(-int(sizes[0] or 0) // BLOCK))
+    grams = stash(counted(found, parts, least, order), "grams")
+    base = Base(tokens, int(grams.agg(F.sum("words")).first()[0] or 0))
+
+    def walk(block: pa.Table, told: pa.Table) -> pa.Table:
+        words, codes, ends = (_joined(block, c, k) for c, k in (("words", np.uint64), ("codes", np.int32), ("ends", np.int64)))
+        known = tuple(_joined(told, c, k) for c, k in (("keys", np.uint64), ("n", np.int64), ("back", np.float64)))
+        automaton, number, n = local(words, codes, ends, known, base, least, order)
+        lens = np.diff(np.r_[0, ends])
+        owner, logs, rare = np.repeat(np.arange(len(ends)), lens), base.log(n), number == automaton.width - 1
+        of = lambda x: np.bincount(owner, x[codes], minlength=len(ends))
+        path = automaton.scores(number[codes], ends) + of(np.where(rare, logs, 0.0))
+        ids, marks = (block.column(c).combine_chunks().flatten() for c in ("doc_id", "held_out"))
+        return pa.table({"doc_id": ids, "held_out": marks, "n_tokens": pa.array(lens, pa.int64()), "n_known": pa.array(of(n > 0).astype(np.int64)), "train_tokens": pa.array(np.full(len(ends), base.tokens), pa.int64()), "base_score": pa.array(of(logs)), "score": pa.array(path)})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    walked = stash(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, path double, rare array<struct<word: binary, times: bigint>>"), "walked")
-    log = F.log10((F.coalesce("n", F.lit(0)) + base.extra) / F.lit(base.tokens + base.extra * (base.distinct + 1)))
-    rare = walked.select("row", F.inline("rare")).join(counts.where(F.col("n") < least), "word", "left")
-    added = rare.groupBy("row").agg(F.sum(F.col("times") * log).alias("log"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("seen"))
-    more = F.coalesce("log", F.lit(0.0))
-    return walked.drop("rare").join(added, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(base.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("path") + more).alias("score")
-    )
+    told = answers(found, grams, parts, order)
+    return found.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(walk, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -99,3 +99,17 @@ def test_runs_of_any_length_give_the_same(spark, monkeypatch, order):
         monkeypatch.setattr(lm, "RUN", run)
         flat, ends = lm.np.concatenate([lm.np.array(x) for x in ids]), lm.np.cumsum([len(x) for x in ids])
         assert auto.scores(flat, ends).tolist() == pytest.approx(whole, abs=1e-9)
+
+
+def test_ngrams_seen_twice_are_kept_at_any_size(spark):
+    rows = [("a b c", False), ("a b c", False), ("a b c", True), *((" ".join(["z"] * 50_000), False) for _ in range(42))]  # over 2 million tokens
+    got = lm.scores(spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(rows)], "doc_id long, text string, h boolean"), F.col("h")).where("held_out").first()
+    assert got.score == pytest.approx(brute(rows)[2][4], abs=1e-6)
+
+
+def test_many_parts_give_the_same(spark, monkeypatch):
+    docs = documents(spark)
+    key = lambda rows: sorted((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in rows)
+    whole = key(lm.scores(docs, F.col("doc_id") % 10 == 3).collect())
+    monkeypatch.setattr(lm, "BLOCK", 500)  # the driver's, which sets the parts
+    assert key(lm.scores(docs, F.col("doc_id") % 10 == 3).collect()) == whole
