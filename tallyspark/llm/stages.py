@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, rule_ensemble, simhash, toxicity
+from . import packing, rule_ensemble, shingles, simhash, toxicity
 from .common import stash, table
+from .components import components
 from .queries import tokenizer
 
 
@@ -22,9 +23,20 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document of the least id; rows that share an id count as one. Rows without an id stay."""
-    found = simhash.near_duplicates(docs.where("doc_id is not null"))
-    firsts = stash(found.where("doc_id = component_id").select("doc_id").distinct(), "firsts")
+    """Of each near-duplicate group the document of the least id; rows that share an id count as one. Rows without an id stay.
+
+    Near duplicates have fingerprints that differ in two bits at most, or five-word shingles of similarity 0.8.
+    """
+    named = docs.where("doc_id is not null")
+    prints = simhash.fingerprints(named.withColumn("id", F.struct("doc_id", F.xxhash64("text").alias("hash"))), doc_id="id").select(F.col("doc_id.*"), "fp")
+    prints = stash(prints.distinct(), "prints")
+    heads = stash(shingles.heads(named.withColumn("hash", F.xxhash64("text")), ["doc_id", "hash"]), "heads")
+    sets = heads.select("doc_id", "hash", "own").distinct()
+    rows = stash(prints.join(sets, ["doc_id", "hash"]), "rows")
+    near = simhash.links(stash(rows.select("fp").distinct(), "distinct")).unionByName(rows.select(F.col("fp").alias("a"), F.col("own").alias("b")).distinct()).unionByName(shingles.links(named, heads))
+    found = stash(components(near), "components")
+    members = found.select(F.col("node").alias("own"), "root").unionByName(found.select(F.col("root").alias("own"), "root").distinct())
+    firsts = stash(rows.join(members, "own").groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "firsts")
     kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
 

@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -57,6 +58,30 @@ def test_rows_without_an_id_stay(spark):
     assert Counter(r.doc_id for r in stages.keep_one_of_each(spark, docs, "").collect()) == Counter([None, 1])
 
 
+def near_copies(seed=5):
+    """Texts of 60 words, and copies of each with one to five words changed."""
+    rnd = random.Random(seed)
+    texts = [[f"w{rnd.randrange(5000)}" for _ in range(60)] for _ in range(30)]
+    out = [" ".join(t) for t in texts]
+    for i, t in enumerate(texts):
+        copy = list(t)
+        for at in rnd.sample(range(60), 1 + i % 5):
+            copy[at] = "changed"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_near_copies_by_shingles_go(spark):
+    texts = near_copies()
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0.1, "x") for i, t in enumerate(texts)], KIND)
+    near = {j for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    bits = slow_components([(i, slow_fingerprint(t)) for i, t in enumerate(texts)])
+    assert any(bits[slow_fingerprint(texts[j])] == j for j in near)  # two bits alone keep some of them
+    gone = near | {i for i, t in enumerate(texts) if bits[slow_fingerprint(t)] != i}
+    assert sorted(r.doc_id for r in stages.keep_one_of_each(spark, docs, "").collect()) == sorted(set(range(len(texts))) - gone)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], KIND)
     assert stages.keep_one_of_each(spark, docs, "").count() == 0 and stages.pack(spark, docs, "").count() == 0
