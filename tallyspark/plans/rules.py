@@ -12,7 +12,7 @@ from ..operators import derive as dop
 from ..operators import score as sop
 from ..operators import validate as vop
 from ..sources import roles
-from .base import FACTS, ITEMS, dbl, query, with_
+from .base import FACTS, ITEMS, ORACLES, dbl, query, with_
 
 KEYS = ["entity_id", "period"]
 #: Column expressions in the text of the oracle: the same rules by another route, common table expressions.
@@ -137,7 +137,16 @@ c AS (SELECT k, place, CASE WHEN place % 3 = 0 THEN 'X' ELSE period END AS perio
 SELECT k, place, period, value, raw, CASE WHEN raw IS NULL THEN 'unmatched' WHEN abs(value - raw) <= 0.01 OR abs(value - raw) / greatest(abs(raw), 1) <= 0.001 THEN 'match' ELSE 'mismatch' END AS status
 FROM (SELECT v.*, coalesce(a.raw, b.raw) AS raw FROM v LEFT JOIN c a ON a.k = v.k AND a.period = v.period LEFT JOIN c b ON b.k = v.k AND b.place = v.place)""")
 def cell_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = roles.items(spark, sf_dir).where("l_orderkey % 20 = 0")
+    return _reconciled(roles.items(spark, sf_dir).where("l_orderkey % 20 = 0"))
+
+
+@query(ORACLES["cell_reconciliation"].replace(" WHERE l_orderkey % 20 = 0", ""))
+def cell_reconciliation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cell_reconciliation over all orders."""
+    return _reconciled(roles.items(spark, sf_dir))
+
+
+def _reconciled(li: DataFrame) -> DataFrame:
     v = li.groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("place")).agg(F.sum("p").cast("double").alias("value")).withColumn("period", F.concat(F.lit("P"), F.col("place").cast("string")))
     cells = v.where("place % 5 <> 0").select("k", "place", F.when(F.expr("place % 3 = 0"), "X").otherwise(F.col("period")).alias("period"), F.when(F.expr("place % 4 = 0"), F.col("value") + 5).otherwise(F.col("value")).alias("raw"))
     return vop.reconcile(v, cells, ["k"]).select("k", "place", "period", "value", "raw", "status")
