@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import series as op
@@ -96,6 +96,15 @@ def lifecycle_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT user_id, CAST(ts AS DATE) AS day, COUNT(*) AS n, {dbl('CAST(SUM(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / COUNT(*)')} AS score FROM events WHERE user_id <= 20 GROUP BY 1, 2 ORDER BY day DESC, user_id LIMIT 200")
 def quality_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily snapshots, newest first."""
-    e = roles.table(spark, sf_dir, "events").where("user_id <= 20")
-    rows = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), roles.double(F.sum(F.col("value").cast("decimal(12,2)")).cast("double") / F.count("*")).alias("score"))
-    return rows.orderBy(F.desc("day"), "user_id").limit(200)
+    return _snapshots(roles.table(spark, sf_dir, "events").where("user_id <= 20")).orderBy(F.desc("day"), "user_id").limit(200)
+
+
+@query(f"SELECT user_id, CAST(ts AS DATE) AS day, COUNT(*) AS n, {dbl('CAST(SUM(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / COUNT(*)')} AS score FROM events GROUP BY 1, 2 QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY day DESC) <= 30")
+def quality_trend_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 30 daily snapshots of every user."""
+    newest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("day")))
+    return _snapshots(roles.table(spark, sf_dir, "events")).withColumn("_rank", newest).where("_rank <= 30").drop("_rank")
+
+
+def _snapshots(events: DataFrame) -> DataFrame:
+    return events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), roles.double(F.sum(F.col("value").cast("decimal(12,2)")).cast("double") / F.count("*")).alias("score"))

@@ -8,3 +8,8 @@ from .compare import SF_DIR, tables
 def test_all_orders_are_reconciled(spark):
     want = tables().sql("SELECT COUNT(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)").fetchall()[0][0]
     assert catalog.QUERIES["cell_reconciliation_all"](spark, SF_DIR).count() == want
+
+
+def test_every_user_has_up_to_thirty_days(spark):
+    want = tables().sql("SELECT SUM(least(n, 30)) FROM (SELECT COUNT(DISTINCT CAST(ts AS DATE)) AS n FROM events GROUP BY user_id)").fetchall()[0][0]
+    assert catalog.QUERIES["quality_trend_each"](spark, SF_DIR).count() == want
