@@ -9,7 +9,7 @@ from ..operators import aggregates as op
 from ..operators.facts import page
 from ..sources import roles
 from ..sources.roles import double
-from .base import ENTITIES, FACTS, ITEMS, JOBS, dbl, query, with_
+from .base import ENTITIES, FACTS, ITEMS, JOBS, ORACLES, dbl, query, with_
 
 NOW = "2001-08-02 00:00:00"
 
@@ -162,8 +162,18 @@ def pattern_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, " + ", ".join(f"arg_max(CAST(value AS DOUBLE), (ts, event_id)) FILTER (strftime(ts, '%Y%m%d') = '202401{d:02d}') AS d202401{d:02d}" for d in range(1, 11)) + " FROM events WHERE user_id % 3 = 0 GROUP BY 1")
 def category_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories by day; a later run of the same day overwrites."""
+    return _heatmap(roles.table(spark, sf_dir, "events").where("user_id % 3 = 0"))
+
+
+@query(ORACLES["category_heatmap"].replace(" WHERE user_id % 3 = 0", ""))
+def category_heatmap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """category_heatmap over all users."""
+    return _heatmap(roles.table(spark, sf_dir, "events"))
+
+
+def _heatmap(events: DataFrame) -> DataFrame:
     days = [f"202401{d:02d}" for d in range(1, 11)]
-    rows = roles.table(spark, sf_dir, "events").where("user_id % 3 = 0").withColumn("day", F.date_format("ts", "yyyyMMdd"))
+    rows = events.withColumn("day", F.date_format("ts", "yyyyMMdd"))
     out = rows.groupBy("event_type").pivot("day", days).agg(F.max_by("value", F.struct("ts", "event_id")))
     return out.select("event_type", *[F.col(d).alias(f"d{d}") for d in days])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import facts as op
 from ..sources import roles
 
-from .base import ENTITIES, FACTS, JOBS, RAW, dbl, query, with_
+from .base import ENTITIES, FACTS, JOBS, ORACLES, RAW, dbl, query, with_
 
 V = "CAST(value AS DOUBLE) AS value"
 
@@ -110,7 +110,16 @@ def entity_jobs_join(spark: SparkSession, sf_dir: str) -> DataFrame:
  unnest(['q', 'p', 'x', 'n']) AS period, unnest([CAST(CAST(l_quantity AS DECIMAL(6,0)) AS VARCHAR), CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR), 'n/a', NULL]) AS raw FROM lineitem WHERE l_linenumber = 1),
  LATERAL (SELECT TRY_CAST(raw AS DECIMAL(20,4)) AS value) WHERE canonical_name <> 'unmapped' AND value IS NOT NULL""")
 def fact_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = roles.items(spark, sf_dir).where("l_linenumber = 1")
+    return _decomposed(roles.items(spark, sf_dir).where("l_linenumber = 1"))
+
+
+@query(ORACLES["fact_decomposition"].replace(" WHERE l_linenumber = 1", ""))
+def fact_decomposition_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fact_decomposition over all lines of an order."""
+    return _decomposed(roles.items(spark, sf_dir))
+
+
+def _decomposed(li: DataFrame) -> DataFrame:
     items = li.select(
         F.col("l_orderkey").alias("job_id"), F.when(F.col("l_partkey") % 10 == 0, "unmapped").otherwise(F.col("l_returnflag")).alias("canonical_name"), F.col("l_partkey").cast("string").alias("label"), F.col("d").cast("double").alias("confidence"),
         F.create_map(F.lit("q"), F.col("q").cast("string"), F.lit("p"), F.col("p").cast("string"), F.lit("x"), F.lit("n/a"), F.lit("n"), F.lit(None).cast("string")).alias("values"),
