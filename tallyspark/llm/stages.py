@@ -23,7 +23,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document of the least id; rows that share an id count as one. Rows without an id stay.
+    """Of each near-duplicate group the row of the least id, fingerprint and text hash. Rows without an id stay.
+
+    Rows that share an id but not their text are documents of their own; those that share both are one.
 
     Near duplicates have fingerprints that differ in two bits at most, or five-word shingles of similarity 0.8.
     """
@@ -36,8 +38,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     near = simhash.links(stash(rows.select("fp").distinct(), "distinct")).unionByName(rows.select(F.col("fp").alias("a"), F.col("own").alias("b")).distinct()).unionByName(shingles.links(named, heads))
     found = stash(components(near), "components")
     members = found.select(F.col("node").alias("own"), "root").unionByName(found.select(F.col("root").alias("own"), "root").distinct())
-    firsts = stash(rows.join(members, "own").groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "firsts")
-    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    firsts = stash(rows.join(members, "own").groupBy("root").agg(F.min(F.struct("doc_id", "fp", "hash")).alias("first")).select("first.doc_id", "first.hash"), "firsts")
+    kept = docs.withColumn("hash", F.xxhash64("text")).join(firsts, ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"]).select(docs.columns)
     return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 

@@ -82,6 +82,12 @@ def test_near_copies_by_shingles_go(spark):
     assert sorted(r.doc_id for r in stages.keep_one_of_each(spark, docs, "").collect()) == sorted(set(range(len(texts))) - gone)
 
 
+def test_other_texts_of_the_same_id_stay(spark):
+    texts = near_copies()[:3]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0.1, "x") for i, t in ((1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[1]), (3, texts[2]))], KIND)
+    assert Counter((r.doc_id, r.text) for r in stages.keep_one_of_each(spark, docs, "").collect()) == Counter([(1, texts[0]), (1, texts[1]), (3, texts[2])])
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], KIND)
     assert stages.keep_one_of_each(spark, docs, "").count() == 0 and stages.pack(spark, docs, "").count() == 0
