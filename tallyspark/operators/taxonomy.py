@@ -10,15 +10,25 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 
+def _head(c: Column, least: float) -> Column:
+    """The characters, numbered by occurrence, of which two texts of an indel similarity of least share one."""
+    chars = F.array_sort(F.split(c, ""))
+    numbered = F.transform(chars, lambda x, i: F.concat(F.lpad((9998 - (i - F.array_position(chars, x))).cast("string"), 4, "0"), x))
+    n = F.size(chars)
+    return F.slice(F.array_sort(numbered), 1, (n - F.ceil(n * (least / (200.0 - least)) - 1e-9) + 1).cast("int"))
+
+
 def fuzzy(labels: DataFrame, aliases: DataFrame, least: float = 80.0) -> DataFrame:
     """The best alias of each label at or above least, by token-sort ratio.
 
-    labels: label; aliases: alias, canonical_name. Candidates share a token that is at least three letters long or begin
-    alike, and their lengths allow the score; the token join is an equi-join, so no pair of unrelated texts is made.
+    labels: label; aliases: alias, canonical_name; least: over 0. No match is lost: a text of n characters has at least
+    n * least / (200 - least) of them in common with one that scores least, so one of the others and one more, in an order
+    that both sides share, is in both. They are numbered by occurrence, ordered with the rarer first, and joined by an
+    equi-join; lengths must allow the score too. Texts without characters match nothing.
     """
-    keyed = lambda df, c: df.withColumn("_key", F.explode(F.array_distinct(F.concat(F.filter(F.split(text.comparable(F.col(c)), " "), lambda x: F.length(x) >= 3), F.array(F.substring(text.comparable(F.col(c)), 1, 2))))))
-    a = keyed(labels.select("label").distinct(), "label").withColumn("_a", text.sorted_tokens(F.col("label")))
-    b = keyed(aliases.select("alias", "canonical_name").distinct(), "alias").withColumn("_b", text.sorted_tokens(F.col("alias")))
+    a = labels.select("label").distinct().withColumn("_a", text.sorted_tokens(F.col("label")))
+    b = aliases.select("alias", "canonical_name").distinct().withColumn("_b", text.sorted_tokens(F.col("alias")))
+    a, b = (df.where(F.length(c) > 0).withColumn("_key", F.explode(_head(F.col(c), least))) for df, c in ((a, "_a"), (b, "_b")))
     pairs = a.join(b, "_key").where(text.within_reach(F.col("_a"), F.col("_b"), least)).select("label", "alias", "canonical_name", "_a", "_b").distinct()
     scored = pairs.withColumn("score", text.indel_ratio("_a", "_b")).where(F.col("score") >= least)
     best = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "alias", "canonical_name"))

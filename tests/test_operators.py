@@ -1,6 +1,7 @@
 """Operators on small fixtures, against brute force where there is no SQL."""
 
 import datetime as dt
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -50,6 +51,22 @@ def test_fuzzy_join_equals_brute_force(spark):
     assert {r.label: r.canonical_name for r in rows} == best
 
 
+@pytest.mark.parametrize("least", [60.0, 80.0])
+def test_fuzzy_join_needs_no_common_token(spark, least):
+    rnd = random.Random(1)
+    labels = ["cold anvils", "Bevenue", "xy", "a a a a b"] + ["".join(rnd.choice("abcd e") for _ in range(rnd.randint(3, 9))).strip() or "a" for _ in range(40)]
+    aliases = ["old anvil", "Revenue", "yx", "a a a b"] + ["".join(rnd.choice("abcd e") for _ in range(rnd.randint(3, 9))).strip() or "b" for _ in range(40)]
+    tokens = lambda x: " ".join(sorted(x.lower().split()))
+    want = {}
+    for x in labels:
+        score, alias = min((-text.indel(tokens(x), tokens(a)), a) for a in aliases)
+        if -score >= least:
+            want[x] = (alias, round(-score, 6))
+    assert {"cold anvils", "Bevenue"} <= want.keys()
+    rows = taxonomy.fuzzy(spark.createDataFrame([(x,) for x in labels], "label string"), spark.createDataFrame([(x, x) for x in aliases], "alias string, canonical_name string"), least).collect()
+    assert {r.label: (r.alias, round(r.score, 6)) for r in rows} == want
+
+
 @pytest.mark.parametrize(("formula", "want"), [
     ("=A1+B2*2", 21.0), ("=SUM(A1:B2)", 25.0), ("=-(A1-B2)^2", 9.0), ("=ROUND(AVERAGE(A1,A2)/B2,1)", 1.1), ("=A1/0", None), ("=VLOOKUP(A1)", None), ("=ABS(A1-100)", 95.0), ("=Z9", None), ("=", None), ("=2^3^2", 512.0),
 ])
