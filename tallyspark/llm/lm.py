@@ -1,12 +1,15 @@
 """Language-model scores by a weighted backoff automaton.
 
 Counting. All words of the training texts are counted exactly, and all n-grams that occur at least twice are kept, at
-any corpus size. Nothing that grows is broadcast or gathered: words and n-grams are 64-bit hashes, and each belongs to
-one of as many parts as the tokens need. Texts are cut into blocks of about BLOCK tokens. A block sends each part the
-n-grams it has with their counts; a part adds up. What follows a context is summed up by the context's part. Then each
-block asks the parts for the counts and backoff weights of its own n-grams, and walks its own automaton of them, which
-has every arc of the whole automaton that its texts can take. Two of N n-grams share a hash with a chance of about
-N^2 / 2^65.
+any corpus size. Nothing that grows is broadcast or gathered. Texts are cut into blocks of about BLOCK tokens, written
+once in buckets, so that no later step shuffles them. Orders are counted one after another: a block sends each part the
+n-grams that it has, with the counts of its training texts; a part adds up, numbers those that are kept, and answers
+each block with counts and numbers of what it asked. An n-gram of order k is asked for only if its two parts of order
+k - 1 are kept, which loses none, and is the pair of its prefix's and its word's number, so it is exact; words are
+64-bit hashes, two of N of which are equal with a chance of about N^2 / 2^65. An n-gram's part is chosen by its prefix;
+the continuations of a prefix that occurs often are split over as many parts as its count needs. So the part also knows
+what the kept n-grams after a prefix add up to, and a block asks it for that too. Then each block walks its own
+automaton of what it was told, which has every arc of the whole automaton that its texts can take.
 
 Model. Interpolated absolute discounting: p(w | h) = (c(hw) - d) / c(h) + b(h) p(w | h'), the first term only for kept
 hw, where h' is h without its first word and b(h) is what the kept terms leave. Without context, p is the base's
@@ -16,8 +19,8 @@ Automaton. States are kept n-grams below the highest order, and the empty one. A
 continuation, and a failure arc with weight log b(h) to the state of h'. One traversal from left to right carries the
 state and adds weights. Words that aren't kept lead from the empty state to itself; their own probability is added.
 
-Null and empty texts hold the end only. Repeated rows are scored each and counted each. An empty table gives no rows;
-without training texts all words are unknown. Other columns are ignored.
+Null and empty texts hold the end only. Repeated rows are scored each and counted each. Very long texts are in one
+block each. An empty table gives no rows; without training texts all words are unknown. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,14 +36,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, slices, stash
+from .codes import ascending, hashes, mixed, numbers, spread, squeezed
+from .common import arrow, bucketed, slices, stash
 
 #: The end as a word, which no word equals; numbers of the end and the begin.
 END, END_ID, BEGIN_ID = b"\n", 0, 1
 #: Distinct words, or n-grams, that a counting task holds before it hands on what it has.
 HELD_WORDS, HELD_GRAMS = 1_000_000, 4_000_000
 #: Tokens of a block, and for each part, and rows of texts that are split at a time.
-BLOCK, SPLIT = 1 << 20, 64
+BLOCK, SPLIT = 1 << 21, 64
 
 #: Words of a text that are walked one after another; the runs of all texts of a block are walked side by side.
 RUN = 128
@@ -263,22 +267,8 @@ def kept_grams(texts: DataFrame, counts: DataFrame, least: int, order: int) -> G
 BEGIN = b"\t"
 
 
-def hashes(words: list[bytes]) -> np.ndarray:
-    from xxhash import xxh64_intdigest
-
-    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
-
-
-def mixed(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hash of an n-gram from those of its prefix and its last word."""
-    x = prefix * np.uint64(0x9E3779B97F4A7C15) + word
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def blocks(rows: DataFrame) -> DataFrame:
-    """Blocks of rows (doc_id, held_out, text): ids and marks, hashes of distinct words, words by number, where texts end, and sizes."""
+    """Blocks of rows (doc_id, held_out, text): ids and marks, hashes of distinct words, words by number, lengths of texts, and sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -295,7 +285,7 @@ def blocks(rows: DataFrame) -> DataFrame:
             yield _block(number, held)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"block long, doc_id array<{kind}>, held_out array<boolean>, words binary, codes binary, ends binary, tokens long, training long")
+    return rows.mapInArrow(run, f"block long, doc_id array<{kind}>, held_out array<boolean>, words binary, codes binary, lens binary, tokens long, training long")
 
 
 def _block(number: int, held: list[tuple]) -> pa.RecordBatch:
@@ -304,159 +294,204 @@ def _block(number: int, held: list[tuple]) -> pa.RecordBatch:
     for (_, codes, ends, *_), first in zip(held, base):
         places.append(at[codes + first])
         lens.append(np.diff(np.r_[0, ends]))
-    codes, ends = np.concatenate(places), np.cumsum(np.concatenate(lens))
+    codes, lens = np.concatenate(places), np.concatenate(lens)
+    by = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # frequent words get small numbers, which compress
+    rank = np.empty(len(words), np.int64)
+    rank[by] = np.arange(len(words))
     ids, marks = (pa.chunked_array([h[i] for h in held]).combine_chunks() for i in (3, 4))
-    training = int(np.diff(np.r_[0, ends])[_training(marks)].sum())
     of = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-    packed = {"words": words, "codes": codes.astype(np.int32), "ends": ends.astype(np.int64)}
-    return arrow({"block": ([number], pa.int64()), "doc_id": (of(ids), None), "held_out": (of(marks), None)} | {k: ([v.tobytes()], pa.binary()) for k, v in packed.items()} | {"tokens": ([len(codes)], pa.int64()), "training": ([training], pa.int64())})
+    packed = {"words": words[by].tobytes(), "codes": squeezed(rank[codes]), "lens": squeezed(lens)}
+    return arrow({"block": ([number], pa.int64()), "doc_id": (of(ids), None), "held_out": (of(marks), None)} | {k: ([v], pa.binary()) for k, v in packed.items()} | {"tokens": ([len(codes)], pa.int64()), "training": ([int(lens[_training(marks)].sum())], pa.int64())})
 
 
 def _training(marks: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.invert(marks), False).to_numpy(zero_copy_only=False)
 
 
-def _unpacked(value: pa.Scalar, kind: type) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), kind)
-
-
-def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(_unpacked(x, kind) for x in table.column(name))])
-
-
-def _runs(words: np.ndarray, codes: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Words by number with each text's begin (number len(words)); by order, hashes of the n-grams that end at each place, and where there are any."""
-    ids = np.insert(codes, np.r_[0, ends[:-1]], len(words))
-    own, inner = np.append(words, hashes([BEGIN]))[ids], ids != len(words)
-    keys, there = [own], [np.ones(len(ids), bool)]
-    for _ in range(1, order):
-        keys.append(np.r_[np.zeros(1, np.uint64), mixed(keys[-1][:-1], own[1:])])
-        there.append(np.r_[False, there[-1][:-1] & inner[1:]])
-    return ids, keys, there
-
-
-def _sent(parts: int, keys: np.ndarray, block: int, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each part that keys fall into."""
-    part = keys % np.uint64(parts)
-    by = np.lexsort((keys, part))
-    cuts = np.searchsorted(part[by], np.arange(parts + 1, dtype=np.uint64))
-    at = np.flatnonzero(np.diff(cuts))
-    split = lambda x: [x[by[cuts[i] : cuts[i + 1]]].tobytes() for i in at]
-    yield arrow({"part": (at, pa.int64()), "block": (np.full(len(at), block), pa.int64())} | {k: (split(v), pa.binary()) for k, v in {"keys": keys, **columns}.items()})
-
-
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield {n: batch.column(n)[i] for n in batch.schema.names}
-
-
-def counted(found: DataFrame, parts: int, least: int, order: int) -> DataFrame:
-    """For each part, ascending hashes of the words and kept n-grams of training texts, their prefixes' hashes, orders, counts; how many are words."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _each(batches):
-            ends = _unpacked(r["ends"], np.int64)
-            _, keys, there = _runs(_unpacked(r["words"], np.uint64), _unpacked(r["codes"], np.int32), ends, order)
-            learned = np.repeat(_training(r["held_out"].values), np.diff(np.r_[0, ends]) + 1)
-            out = []
-            for k in range(order):
-                at = np.flatnonzero(there[k] & learned)
-                own, first, n = np.unique(keys[k][at], return_index=True, return_counts=True)
-                out.append((own, keys[k - 1][at[first] - 1] if k else np.zeros(len(own), np.uint64), np.full(len(own), k + 1, np.int8), n.astype(np.int32)))
-            own, prefixes, orders, n = map(np.concatenate, zip(*out))
-            yield from _sent(parts, own, r["block"].as_py(), prefixes=prefixes, orders=orders, n=n)
+@dataclass
+class Order:
+    """A block's n-grams of one order: for each place the one that ends there (or -1); where each was sent to; what was told of them."""
+
+    at: np.ndarray  # by place
+    keys: np.ndarray  # ascending by (part, key), as all below
+    parts: np.ndarray
+    n: np.ndarray  # in the block's training texts
+    contexts: np.ndarray  # numbers of n-grams one shorter, ascending by (part, context)
+    context_parts: np.ndarray
+    count: np.ndarray | None = None  # in all training texts, 0 for those that aren't kept; for words in any case
+    number: np.ndarray | None = None  # of the kept, else -1
+    back: np.ndarray | None = None  # b
+
+
+class Block:
+    """A block's places (each text's words behind a begin), and its n-grams order by order."""
+
+    def __init__(self, words: bytes, codes: bytes, lens: bytes, marks: pa.Array, parts: int) -> None:
+        self.words, self.codes, self.lens, self.parts = np.frombuffer(words, np.uint64), spread(codes), spread(lens), parts
+        begins = np.r_[0, np.cumsum(self.lens)[:-1]] if len(self.lens) else np.zeros(0, np.int64)
+        self.ids = np.insert(self.codes, begins, len(self.words))
+        self.learned = np.repeat(_training(marks), self.lens + 1)
+        self.orders: list[Order] = []
+        self.width = 0  # word numbers are below
+
+    def _order(self, places: np.ndarray, key: np.ndarray, part: np.ndarray, contexts: tuple[np.ndarray, np.ndarray]) -> Order:
+        own, first, back = np.unique(key, return_index=True, return_inverse=True)
+        by = np.lexsort((own, part[first]))
+        rank = np.empty(len(own), np.int64)
+        rank[by] = np.arange(len(own))
+        at = np.full(len(self.ids), -1)
+        at[places] = rank[back]
+        seen = at[places[self.learned[places]]]
+        out = Order(at, own[by], part[first][by], np.bincount(seen, minlength=len(own)), *contexts)
+        self.orders.append(out)
+        return out
+
+    def ask(self, order: int) -> Order:
+        """The n-grams of the next order, all of whose shorter ones have been told."""
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        if order == 1:
+            key = np.append(self.words, hashes([BEGIN]))
+            return self._order(np.arange(len(self.ids)), key[self.ids], (key % np.uint64(self.parts)).astype(np.int64)[self.ids], none)
+        before, words = self.orders[-1], self.orders[0]
+        last, inner = before.at, self.ids != len(self.words)
+        kept = np.append(before.number >= 0, False)[last]  # the place's n-gram one shorter is kept
+        places = np.flatnonzero(inner & kept & np.r_[False, kept[:-1]])
+        context, word = (x.astype(np.uint64) for x in (before.number[last[places - 1]], words.number[words.at[places]]))
+        pieces = (before.count // BLOCK + 1).astype(np.uint64)  # of the continuations of each context
+        part = mixed(context, word % pieces[last[places - 1]]) % np.uint64(self.parts)
+        has = np.unique(last[np.flatnonzero(inner) - 1])  # contexts that something follows
+        has = has[has >= 0]
+        has = has[before.number[has] >= 0]
+        times = pieces[has].astype(np.int64)
+        each = np.repeat(has, times)
+        piece = (np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
+        asked = before.number[each].astype(np.uint64)
+        where = (mixed(asked, piece) % np.uint64(self.parts)).astype(np.int64)
+        return self._order(places, context * np.uint64(self.width) + word, part.astype(np.int64), _distinct(asked, where))
+
+    def sent(self, order: int, block: int) -> Iterator[pa.RecordBatch]:
+        """One row for each part that is asked something."""
+        o = self.ask(order)
+        cuts, more = (np.searchsorted(x, np.arange(self.parts + 1)) for x in (o.parts, o.context_parts))
+        to = np.flatnonzero((np.diff(cuts) > 0) | (np.diff(more) > 0))
+        shrink = np.uint64(self.parts if order == 1 else 1)  # hashes of a part agree in their rest
+        rows = {"keys": [ascending(o.keys[cuts[p] : cuts[p + 1]] // shrink) for p in to], "n": [squeezed(o.n[cuts[p] : cuts[p + 1]]) for p in to], "contexts": [ascending(o.contexts[more[p] : more[p + 1]]) for p in to]}
+        yield arrow({"part": (to, pa.int64()), "block": (np.full(len(to), block), pa.int64())} | {k: (v, pa.binary()) for k, v in rows.items()})
+
+    def told(self, order: int, rows: list[tuple[int, bytes, bytes, bytes, bytes]], discount: float) -> None:
+        """Takes the answers (part, counts, numbers, sums after contexts, how many are summed) to what was asked."""
+        o = self.orders[order - 1]
+        o.count, o.number = np.zeros(len(o.keys), np.int64), np.full(len(o.keys), -1)
+        sums, times = np.zeros((2, len(o.contexts)))
+        for part, count, number, total, n in rows:
+            own = slice(*np.searchsorted(o.parts, [part, part + 1]))
+            o.count[own] = spread(count)
+            places = np.flatnonzero(o.count[own] > 0) + own.start
+            ids = numbers(number).astype(np.int64)
+            if order == 1:  # words that aren't kept have counts too; the first of ids says which are
+                places = places[np.unpackbits(np.frombuffer(total, np.uint8), count=len(places)).astype(bool)]
+            else:
+                of = slice(*np.searchsorted(o.context_parts, [part, part + 1]))
+                sums[of], times[of] = spread(total), spread(n)
+            o.number[places] = ids
+        if order > 1:
+            before = self.orders[order - 2]
+            by = np.argsort(before.number)
+            at = by[np.searchsorted(before.number[by], o.contexts.astype(np.int64))]
+            total = np.bincount(at, sums - discount * times, minlength=len(before.number))
+            before.back = np.maximum(1 - total / np.maximum(before.count, 1), 1e-12)
+
+    def automaton(self, base: Base) -> tuple[Automaton, np.ndarray]:
+        """Automaton of what was told, and the number in it of each distinct word of the block, the begin's last."""
+        first = self.orders[0]
+        of_word = np.full(len(self.words) + 1, -1)
+        of_word[self.ids] = first.at
+        begin, end = len(self.words), int(np.flatnonzero(self.words == hashes([END])[0])[0])
+        kept = np.flatnonzero(np.append(first.number >= 0, False)[of_word])
+        listed = np.r_[end, begin, kept[(kept != end) & (kept != begin)]]
+        number = np.full(len(self.words) + 1, len(listed))
+        number[listed] = np.arange(len(listed))
+        backs = lambda o: np.ones(len(o.keys)) if o.back is None else o.back
+        grams, weights = Grams(range(len(listed)), [first.count[of_word[listed]]], []), [backs(first)[of_word[listed]]]
+        word = number[self.ids]
+        own = np.where(word < len(listed), word, -1)
+        for o in self.orders[1:]:
+            places = np.flatnonzero(np.append(o.number >= 0, False)[o.at])
+            found, at, back = np.unique(own[places - 1] * grams.width + word[places], return_index=True, return_inverse=True)
+            own = np.full(len(self.ids), -1)
+            own[places] = back
+            grams.keys.append(found)
+            grams.counts.append(o.count[o.at[places[at]]])
+            weights.append(backs(o)[o.at[places[at]]])
+        return Automaton(grams, base, backs=weights), number
+
+
+def _distinct(what: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, ascending by (where, what)."""
+    by = np.lexsort((what, where))
+    what, where = what[by], where[by]
+    new = np.ones(len(what), bool)
+    new[1:] = (where[1:] != where[:-1]) | (what[1:] != what[:-1])
+    return what[new], where[new]
+
+
+def _blocks_of(table: pa.Table, parts: int) -> Iterator[tuple[int, Block]]:
+    for i in range(table.num_rows):
+        r = {n: table.column(n)[i] for n in table.column_names}
+        yield r["block"].as_py(), Block(*(r[c].as_py() for c in ("words", "codes", "lens")), r["held_out"].values, parts)
+
+
+def _told(block: Block, answers: pa.Table, order: int, width: int, discount: float) -> None:
+    """Asks and takes the answers up to the given order."""
+    block.width = width
+    kinds = answers.column("order").to_numpy()
+    for k in range(1, order + 1):
+        block.ask(k)
+        rows = answers.filter(pa.array(kinds == k)).select(["part", "count", "number", "total", "times"]).to_pylist()
+        block.told(k, [tuple(r.values()) for r in rows], discount)
+
+
+MESSAGE = "part long, block long, keys binary, n binary, contexts binary"
+ANSWER = "order int, part long, block long, count binary, number binary, total binary, times binary, distinct long, widest long"
+
+
+def answered(messages: DataFrame, order: int, parts: int, width: int, least: int) -> DataFrame:
+    """Each part adds up what it was sent and answers each block; one of its rows says how many words it has, and its largest number."""
+    special = [int(x) for x in hashes([END, BEGIN])]
 
     def add(table: pa.Table) -> pa.Table:
-        keys, first, at = np.unique(_joined(table, "keys", np.uint64), return_index=True, return_inverse=True)
-        n = np.bincount(at, _joined(table, "n", np.int32), minlength=len(keys)).astype(np.int64)
-        orders = _joined(table, "orders", np.int8)[first]
-        words = int(((orders == 1) & (keys != hashes([BEGIN]))).sum())
-        keep = (orders == 1) | (n >= least)
-        packed = {"keys": keys, "prefixes": _joined(table, "prefixes", np.uint64)[first], "orders": orders, "n": n}
-        return pa.table({"part": table.column("part")[:1], **{k: pa.array([v[keep].tobytes()], pa.binary()) for k, v in packed.items()}, "words": pa.array([words], pa.int64())})
-
-    sent = found.mapInArrow(send, "part long, block long, keys binary, prefixes binary, orders binary, n binary")
-    return sent.groupBy("part").applyInArrow(add, "part long, keys binary, prefixes binary, orders binary, n binary, words long")
-
-
-#: In the place of a block: the row holds counts, or sums of the counts after contexts and their number.
-COUNTS, AFTER = -1, -2
-MESSAGE = "part long, block long, keys binary, a binary, b binary"
-
-
-def answers(found: DataFrame, grams: DataFrame, parts: int, order: int) -> DataFrame:
-    """block, keys, n and back (b) of the words and kept n-grams that each block has; several rows for a block."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _each(batches):
-            _, keys, there = _runs(_unpacked(r["words"], np.uint64), _unpacked(r["codes"], np.int32), _unpacked(r["ends"], np.int64), order)
-            own = np.concatenate([np.unique(k[t]) for k, t in zip(keys, there)])
-            none = np.zeros((len(own), 0), np.int64)
-            yield from _sent(parts, own, r["block"].as_py(), a=none, b=none)
-
-    def after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _each(batches):
-            longer = _unpacked(r["orders"], np.int8) > 1
-            own, at, times = np.unique(_unpacked(r["prefixes"], np.uint64)[longer], return_inverse=True, return_counts=True)
-            total = np.bincount(at, _unpacked(r["n"], np.int64)[longer], minlength=len(own)).astype(np.int64)
-            yield from _sent(parts, own, AFTER, a=total, b=times.astype(np.int64))
-
-    def reply(table: pa.Table) -> pa.Table:
-        kind = table.column("block").to_numpy()
-        rows = lambda x: table.filter(pa.array(kind == x))
-        counts, sums, asked = rows(COUNTS), rows(AFTER), table.filter(pa.array(kind >= 0))
-        keys, n, of = _joined(counts, "keys", np.uint64), _joined(counts, "a", np.int64), _joined(sums, "keys", np.uint64)
-        at = np.searchsorted(keys, of)
-        total, times = (np.bincount(at, _joined(sums, c, np.int64), minlength=len(keys)) for c in "ab")
-        back = np.maximum(1 - (total - DISCOUNT * times) / np.maximum(n, 1), 1e-12)
-        out: dict[str, list] = {"block": [], "keys": [], "n": [], "back": []}
-        for block, value in zip(asked.column("block").to_pylist(), asked.column("keys")):
-            own = _unpacked(value, np.uint64)
-            place = np.searchsorted(keys, own)
-            place = place[(place < len(keys)) & (keys[np.minimum(place, len(keys) - 1)] == own)] if len(keys) else place[:0]
-            if len(place):
-                for k, v in (("block", block), ("keys", keys[place].tobytes()), ("n", n[place].tobytes()), ("back", back[place].tobytes())):
-                    out[k].append(v)
-        return pa.table({k: pa.array(v, pa.int64() if k == "block" else pa.binary()) for k, v in out.items()})
-
-    counts = grams.select("part", F.lit(COUNTS).cast("long").alias("block"), "keys", F.col("n").alias("a"), F.lit(b"").alias("b"))
-    told = found.mapInArrow(ask, MESSAGE).unionByName(counts).unionByName(grams.mapInArrow(after, MESSAGE))
-    return told.groupBy("part").applyInArrow(reply, "block long, keys binary, n binary, back binary")
-
-
-def local(words: np.ndarray, codes: np.ndarray, ends: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray], base: Base, least: int, order: int) -> tuple[Automaton, np.ndarray, np.ndarray]:
-    """Automaton of a block, the number in it of each distinct word, and how often each occurs; known: hashes, counts and b of the words and kept n-grams."""
-    by = np.argsort(known[0])
-    hashed, counts, backs = (x[by] for x in known)
-
-    def find(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(hashed, keys), max(len(hashed) - 1, 0))
-        return at, hashed[at] == keys if len(hashed) else np.zeros(len(keys), bool)
-
-    at, hit = find(np.r_[words, hashes([BEGIN])])
-    n, b = (np.where(hit, x[at], y) if len(x) else np.full(len(at), y) for x, y in ((counts, 0), (backs, 1.0)))
-    end = int(np.searchsorted(words, hashes([END])[0]))
-    kept = np.flatnonzero((n[:-1] >= least) & (np.arange(len(words)) != end))
-    listed = np.r_[end, len(words), kept]
-    number = np.full(len(words) + 1, len(listed))
-    number[listed] = np.arange(len(listed))
-    grams = Grams(range(len(listed)), [n[listed]], [])
-    weights = [b[listed]]
-    ids, keys, there = _runs(words, codes, ends, order)
-    word = number[ids]
-    own = np.where(word < len(listed), word, -1)
-    for k in range(1, order):
-        places = np.flatnonzero(there[k] & np.r_[False, own[:-1] >= 0] & (word < len(listed)))
-        at, hit = find(keys[k][places])
-        places, at = places[hit], at[hit]
-        found, first, back = np.unique(own[places - 1] * grams.width + word[places], return_index=True, return_inverse=True)
-        own = np.full(len(ids), -1)
-        own[places] = back
-        grams.keys.append(found)
-        grams.counts.append(counts[at[first]])
-        weights.append(backs[at[first]])
-    return Automaton(grams, base, backs=weights), number[:-1], n[:-1]
+        part, rows = table.column("part")[0].as_py(), table.select(["block", "keys", "n", "contexts"]).to_pylist()
+        keys = [numbers(r["keys"]) for r in rows]
+        all_, back = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(back, np.concatenate([spread(r["n"]) for r in rows]), minlength=len(all_)).astype(np.int64)
+        kept = n >= least
+        if order == 1:
+            full = all_ * np.uint64(parts) + np.uint64(part)
+            kept |= (n > 0) & np.isin(full, np.array(special, np.uint64))
+            distinct = int(((n > 0) & (full != np.uint64(special[1]))).sum())
+        else:
+            n, distinct = np.where(kept, n, 0), 0
+            context, first, times = np.unique(all_[kept] // np.uint64(width), return_index=True, return_counts=True)
+            sums = np.add.reduceat(n[kept], first) if len(first) else np.zeros(0, np.int64)
+        number = (np.cumsum(kept) - 1) * parts + part
+        out: dict[str, list] = {k: [] for k in ("order", "part", "block", "count", "number", "total", "times", "distinct", "widest")}
+        at = np.cumsum([0, *map(len, keys)])
+        for i, r in enumerate(rows):
+            own = back[at[i] : at[i + 1]]
+            if order == 1:
+                total, more = np.packbits(kept[own[n[own] > 0]]).tobytes(), b""
+            else:
+                asked = numbers(r["contexts"])
+                place = np.minimum(np.searchsorted(context, asked), max(len(context) - 1, 0))
+                hit = context[place] == asked if len(context) else np.zeros(len(asked), bool)
+                total, more = (squeezed(np.where(hit, x[place], 0) if len(x) else np.zeros(len(asked), np.int64)) for x in (sums, times))
+            values = (order, part, r["block"], squeezed(n[own]), ascending(number[own][kept[own]].astype(np.uint64)), total, more, 0 if i else distinct, int(number.max()) if len(number) and not i else 0)
+            for k, v in zip(out, values):
+                out[k].append(v)
+        kinds = {"order": pa.int32(), "count": pa.binary(), "number": pa.binary(), "total": pa.binary(), "times": pa.binary()}
+        return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
+
+    return messages.groupBy("part").applyInArrow(add, ANSWER)
 
 
 def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", order: int = 3, share: float = 0.0) -> DataFrame:
@@ -465,24 +500,46 @@ def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     N-grams that occur at least twice are kept; share asks for a share of the training tokens beyond that.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
-    found = stash(blocks(rows), "blocks")
+    found = bucketed(blocks(rows), "blocks", "block", 2 * rows.rdd.getNumPartitions())
     sizes = found.agg(F.sum("tokens"), F.sum("training")).first()
-    tokens, least = int(sizes[1] or 0), max(2, int(np.ceil(share * (sizes[1] or 0))))
-    parts = max(1, -(-int(sizes[0] or 0) // BLOCK))
-    grams = stash(counted(found, parts, least, order), "grams")
-    base = Base(tokens, int(grams.agg(F.sum("words")).first()[0] or 0))
-
-    def walk(block: pa.Table, told: pa.Table) -> pa.Table:
-        words, codes, ends = (_joined(block, c, k) for c, k in (("words", np.uint64), ("codes", np.int32), ("ends", np.int64)))
-        known = tuple(_joined(told, c, k) for c, k in (("keys", np.uint64), ("n", np.int64), ("back", np.float64)))
-        automaton, number, n = local(words, codes, ends, known, base, least, order)
-        lens = np.diff(np.r_[0, ends])
-        owner, logs, rare = np.repeat(np.arange(len(ends)), lens), base.log(n), number == automaton.width - 1
-        of = lambda x: np.bincount(owner, x[codes], minlength=len(ends))
-        path = automaton.scores(number[codes], ends) + of(np.where(rare, logs, 0.0))
-        ids, marks = (block.column(c).combine_chunks().flatten() for c in ("doc_id", "held_out"))
+    parts, least = max(1, -(-int(sizes[0] or 0) // BLOCK)), max(2, int(np.ceil(share * (sizes[1] or 0))))
+
+    def ask(k: int, width: int, answers: DataFrame | None) -> DataFrame:
+        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for number, block in _blocks_of(pa.Table.from_batches([batch]), parts):
+                    yield from block.sent(1, number)
+
+        def later(own: pa.Table, told: pa.Table) -> pa.Table:
+            ((number, block),) = _blocks_of(own, parts)
+            _told(block, told, k - 1, width, DISCOUNT)
+            return pa.Table.from_batches(list(block.sent(k, number)))
+
+        return found.mapInArrow(first, MESSAGE) if answers is None else found.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(later, MESSAGE)
+
+    answers, width, distinct = None, 0, 0
+    for k in range(1, order + 1):
+        more = answered(ask(k, width, answers), k, parts, width, least)
+        if k < order or order == 1:  # read again by all later steps
+            more = stash(more, f"order{k}")
+        if k == 1:
+            told = more.agg(F.max("widest"), F.sum("distinct")).first()
+            width, distinct = max(0, int(told[0] or 0)) + 1, int(told[1] or 0)
+        answers = more if answers is None else answers.unionByName(more)
+    base = Base(int(sizes[1] or 0), distinct)
+
+    def walk(own: pa.Table, told: pa.Table) -> pa.Table:
+        ((_, block),) = _blocks_of(own, parts)
+        _told(block, told, order, width, DISCOUNT)
+        automaton, number = block.automaton(base)
+        of_word = np.zeros(len(block.words) + 1, np.int64)
+        of_word[block.ids] = block.orders[0].count[block.orders[0].at]
+        n, lens, ends = of_word[:-1], block.lens, np.cumsum(block.lens)
+        owner, logs, rare = np.repeat(np.arange(len(ends)), lens), base.log(n), number[:-1] == automaton.width - 1
+        of = lambda x: np.bincount(owner, x[block.codes], minlength=len(ends))
+        path = automaton.scores(number[block.codes], ends) + of(np.where(rare, logs, 0.0))
+        ids, marks = (own.column(c).combine_chunks().flatten() for c in ("doc_id", "held_out"))
         return pa.table({"doc_id": ids, "held_out": marks, "n_tokens": pa.array(lens, pa.int64()), "n_known": pa.array(of(n > 0).astype(np.int64)), "train_tokens": pa.array(np.full(len(ends), base.tokens), pa.int64()), "base_score": pa.array(of(logs)), "score": pa.array(path)})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    told = answers(found, grams, parts, order)
-    return found.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(walk, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return found.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(walk, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
