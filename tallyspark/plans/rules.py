@@ -178,11 +178,14 @@ r AS (SELECT *, CAST(least(CASE WHEN score >= 0.9 THEN 5 WHEN score >= 0.75 THEN
 """
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def job_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, k, c = roles.table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
     d = lambda x, by: x.cast("double") / by
-    rows = o.select(k.alias("job_id"), d(k % 101, 100).alias("mapping"), d(c % 83, 82).alias("validation"), d((k + c) % 97, 96).alias("completeness"), d(k % 7, 6).alias("series"), F.when(F.col("o_orderstatus") != "P", d(c % 11, 10)).alias("cells"), d(k % 5, 10).alias("mismatch"))
-    return sop.quality(rows, WEIGHTS, "cells")
+    return o.select(k.alias("job_id"), d(k % 101, 100).alias("mapping"), d(c % 83, 82).alias("validation"), d((k + c) % 97, 96).alias("completeness"), d(k % 7, 6).alias("series"), F.when(F.col("o_orderstatus") != "P", d(c % 11, 10)).alias("cells"), d(k % 5, 10).alias("mismatch"))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sop.quality(job_dimensions(spark, sf_dir), WEIGHTS, "cells")
 
 
 @query(SCORED + "SELECT job_id, score, ['F', 'D', 'C', 'B', 'A'][rank] AS grade, CASE WHEN score >= 0.8 THEN 'trustworthy' WHEN score >= 0.55 THEN 'review' ELSE 'unreliable' END AS label FROM r")
