@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions import text
+from ..functions import periods, text
 
 
 def spread_merged(cells: DataFrame, merged: DataFrame) -> DataFrame:
@@ -178,3 +178,25 @@ def formula_value(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
     """evaluate over columns: formula, and a map from reference to number of the cells it needs."""
     for f, v in batches:
         yield pd.Series([None if a is None else evaluate(a, dict(b or {})) for a, b in zip(f, v)], dtype="float64")
+
+
+def header_rows(cells: DataFrame, least: int = 2, share: float = 0.4) -> DataFrame:
+    """Rows (sheet, row_index) of which at least least cells, and this share of those with a value, are periods; the kind that most of them have (of equals the first by name), and the share, lowered if there are several kinds."""
+    keys = ["sheet", "row_index"]
+    filled = cells.where(F.length(F.trim("value")) > 0).withColumn("kind", periods.normalize(F.col("value"))["kind"])
+    by = filled.groupBy(*keys, "kind").agg(F.count("*").alias("n"))
+    there = F.col("kind").isNotNull()
+    rows = by.groupBy(*keys).agg(F.sum("n").alias("filled"), F.sum(F.when(there, F.col("n")).otherwise(0)).alias("periods"), F.count_if(there).alias("kinds"), F.min_by("kind", F.when(there, F.struct(-F.col("n"), "kind"))).alias("dominant"))
+    ratio = F.col("periods").cast("double") / F.col("filled")
+    bonus = F.when(F.col("kinds") == 1, 1.0).when(F.col("kinds") == 2, 0.9).otherwise(0.8)
+    return rows.where((F.col("periods") >= least) & (ratio >= share)).select(*keys, "periods", "dominant", F.round(ratio * bonus, 4).alias("confidence"))
+
+
+def numeric_rows(cells: DataFrame, least: int = 3, share: float = 0.4) -> DataFrame:
+    """Rows whose numbers (whole, up to 100) are consecutive, at least least, and at least a share of the cells with a value."""
+    n = F.regexp_extract(F.trim("value"), r"^(\d{1,3})(?:\.0)?$", 1).try_cast("int")
+    rows = cells.where(F.length(F.trim("value")) > 0).select("sheet", "row_index", F.when(n <= 100, n).alias("n"))
+    rows = rows.groupBy("sheet", "row_index").agg(F.count("*").alias("filled"), F.count("n").alias("numbers"), F.count_distinct("n").alias("different"), F.min("n").alias("first"), F.max("n").alias("last"))
+    ratio = F.col("numbers").cast("double") / F.col("filled")
+    consecutive = (F.col("numbers") == F.col("different")) & (F.col("last") - F.col("first") == F.col("numbers") - 1)
+    return rows.where((F.col("numbers") >= least) & consecutive & (ratio >= share)).select("sheet", "row_index", "first", "last", F.round(F.lit(0.7) * ratio, 4).alias("confidence"))

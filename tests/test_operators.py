@@ -78,6 +78,8 @@ def test_formulas(formula, want):
     ("FY24", "FY2024", "fiscal_year"), ("fy26/27", "FY2026/27", "fiscal_year"), ("FYE Mar 2024", "FYE-2024-03", "fiscal_year_end"), ("CY98", "CY1998", "calendar_year"), ("LTM", "LTM", "trailing"), ("2024E", "2024E", "year"),
     ("Q3'24", "2024-Q3", "quarter"), ("2024Q3", "2024-Q3", "quarter"), ("1H24", "2024-H1", "half"), ("Jan-24", "2024-01", "month"), ("2024-01", "2024-01", "month"), ("2024", "2024", "year"), ("Ops Yr 3", "Ops-Year3", "phase"), ("Year 1", "Year1", "relative"),
     ("COD+2", "COD+2", "cod"), ("total", None, None), ("", None, None), (None, None, None),
+    ("COD", "COD", "cod"), ("post cod", "PostCOD", "cod"), ("Pre-COD", "PreCOD", "cod"), ("COD-3", "COD-3", "cod"), ("Stub", "Stub", "stub"), ("6-month stub", "Stub-6M", "stub"), ("Short Period", "Stub", "stub"), ("Year 1A", "Year1A", "relative"), ("Yr. 5", "Year5", "relative"),
+    ("Const. Year 2", "Const-Year2", "phase"), ("1S 2024", "2024-H1", "half"), ("H1 2024A", "2024-H1", "half"), ("FY24/2025", "FY2024/2025", "fiscal_year"), ("Mayhem 24", None, None), ("Jan24", None, None), ("24A", None, None), ("Marches 2024", None, None),
 ])
 def test_periods(spark, raw, normal, kind):
     r = spark.createDataFrame([(raw,)], "raw string").select(periods.normalize(F.col("raw")).alias("p")).first().p
