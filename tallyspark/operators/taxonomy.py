@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.store import settled
 
 
 def _head(c: Column, least: float) -> Column:
@@ -75,29 +76,36 @@ def version_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "canonical_name", "full").select("canonical_name", change.alias("change"), joined(F.col("a1"), F.col("a0")).alias("aliases_added"), joined(F.col("a0"), F.col("a1")).alias("aliases_removed"))
 
 
-def levels(edges: DataFrame, deepest: int = 16) -> DataFrame:
-    """K/J: node, parent, level, root and path of a forest by recursive SQL; a parent that isn't there makes a root."""
-    spark = edges.sparkSession
-    name = f"_edges_{id(edges)}"
+def levels(edges: DataFrame) -> DataFrame:
+    """K/J: node, parent, level, root, path and ancestors (an array from the root to the node) of a forest; a parent that isn't there makes a root.
+
+    Pointer doubling: each round joins what lies above a node's topmost known ancestor, so that as many rounds are needed as
+    the depth has binary digits, whatever the depth and the number of nodes. Nodes of a cycle, and below one, have no level,
+    root, path or ancestors. edges: node (once each), parent.
+    """
     nodes = edges.select(F.col("node").alias("parent")).distinct().withColumn("_known", F.lit(True))
-    edges.join(nodes, "parent", "left").select("node", F.when(F.col("_known"), F.col("parent")).alias("parent")).createOrReplaceTempView(name)
-    return spark.sql(f"""WITH RECURSIVE tree AS (
-        SELECT node, parent, 0 AS level, node AS root, node AS path FROM {name} WHERE parent IS NULL
-        UNION ALL SELECT e.node, e.parent, t.level + 1, t.root, concat(t.path, '/', e.node) FROM {name} e JOIN tree t ON e.parent = t.node WHERE t.level < {deepest}) SELECT * FROM tree""")
+    edges = settled(edges.join(nodes, "parent", "left").select("node", F.when(F.col("_known"), F.col("parent")).alias("parent")))
+    state, most, reach = edges.select("node", F.col("parent").alias("up"), F.array("node").alias("ancestors")), edges.count(), 1
+    while reach <= most and not state.where("up is not null").isEmpty():
+        over = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("ancestors").alias("above"))
+        above = F.coalesce("above", F.array().cast("array<string>"))
+        state = settled(state.join(over, "up", "left").select("node", F.col("next").alias("up"), F.concat(above, "ancestors").alias("ancestors")))
+        reach *= 2
+    found = F.when(F.col("up").isNull(), F.col("ancestors"))
+    rows = edges.join(state, "node").withColumn("ancestors", found)
+    return rows.select("node", "parent", (F.size("ancestors") - 1).alias("level"), F.col("ancestors")[0].alias("root"), F.array_join("ancestors", "/").alias("path"), "ancestors")
 
 
 def subtotals(tree: DataFrame, values: DataFrame) -> DataFrame:
     """J/H5: a node's own value, else the sum of the nearest valued nodes below it.
 
-    Every node's path is its ancestors; a valued node counts for an ancestor if none that lies between has a value.
+    A valued node counts for an ancestor if none that lies between has a value. tree: node and ancestors.
     """
     valued = values.where("value is not null").select("node", "value")
-    own = tree.join(valued, "node")
-    up = own.select("node", "value", F.split("path", "/").alias("p")).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("p"))))
-    up = up.withColumn("ancestor", F.expr("p[i - 1]"))
+    up = tree.join(valued, "node").select("node", "value", F.posexplode("ancestors").alias("i", "ancestor"))
     blocked = up.join(valued.select(F.col("node").alias("ancestor"), F.lit(1).alias("has")), "ancestor", "left")
     last = F.max(F.when((F.col("has") == 1) & (F.col("ancestor") != F.col("node")), F.col("i"))).over(Window.partitionBy("node"))
-    reach = blocked.withColumn("stop", F.coalesce(last, F.lit(0))).where((F.col("ancestor") == F.col("node")) | (F.col("has").isNull() & (F.col("i") > F.col("stop"))))
+    reach = blocked.withColumn("stop", F.coalesce(last, F.lit(-1))).where((F.col("ancestor") == F.col("node")) | (F.col("has").isNull() & (F.col("i") > F.col("stop"))))
     return reach.groupBy(F.col("ancestor").alias("node")).agg(F.sum("value").alias("value"), F.max(F.when(F.col("ancestor") == F.col("node"), True).otherwise(False)).alias("own"))
 
 

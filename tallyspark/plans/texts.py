@@ -102,7 +102,7 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE e AS ({TREE}), t AS (SELECT node, parent, 0 AS level, node AS root, node AS path FROM e WHERE parent IS NULL UNION ALL SELECT e.node, e.parent, level + 1, root, path || '/' || e.node FROM e JOIN t ON e.parent = t.node) SELECT * FROM t")
 def hierarchy_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tree(spark, sf_dir)
+    return _tree(spark, sf_dir).drop("ancestors")
 
 
 @query(f"""WITH RECURSIVE e AS ({TREE}), v AS (SELECT s_name AS node, CAST(s_acctbal AS DECIMAL(14,2)) AS value FROM supplier WHERE s_suppkey % 5 <> 0 UNION ALL SELECT n_name, CAST(1000 AS DECIMAL(14,2)) FROM nation WHERE n_nationkey % 6 = 0),

@@ -123,3 +123,16 @@ def test_stream_gives_what_a_table_gives(spark, tmp_path):
     assert {tuple(r) for r in spark.table("found").collect()} == want
     assert windows.first_copies(events, F.col("body")).count() == 2
     assert windows.quantiles(events.withColumn("v", F.lit(2.0)), "v", [0.5]).first().q == [2.0]
+
+
+def test_levels_know_no_depth(spark):
+    chain = [(f"n{i:03}", f"n{i - 1:03}" if i else None) for i in range(60)]
+    rows = [*chain, ("orphan", "nobody"), ("a/b", "n003"), ("x", "y"), ("y", "x"), ("below", "x"), ("self", "self")]
+    got = {r.node: r for r in taxonomy.levels(spark.createDataFrame(rows, "node string, parent string")).collect()}
+    assert len(got) == len(rows) and got["n059"].level == 59 and got["n059"].root == "n000" and got["n059"].ancestors == [n for n, _ in chain]
+    assert (got["orphan"].level, got["orphan"].root, got["orphan"].parent) == (0, "orphan", None)
+    assert got["a/b"].ancestors == ["n000", "n001", "n002", "n003", "a/b"]
+    assert all(got[n].level is None and got[n].root is None and got[n].path is None for n in ("x", "y", "below", "self"))
+    sums = taxonomy.subtotals(spark.createDataFrame(list(got.values())), spark.createDataFrame([("a/b", 2), ("n005", 3), ("n059", 9)], "node string, value int"))
+    assert {r.node: r.value for r in sums.collect()} == {"a/b": 2, "n005": 3, **{n: 9 for n, _ in chain[6:]}, "n004": 3, **{n: 5 for n, _ in chain[:4]}}
+    assert taxonomy.levels(spark.createDataFrame([], "node string, parent string")).count() == 0
