@@ -188,7 +188,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sop.quality(job_dimensions(spark, sf_dir), WEIGHTS, "cells")
 
 
-@query(SCORED + "SELECT job_id, score, ['F', 'D', 'C', 'B', 'A'][rank] AS grade, CASE WHEN score >= 0.8 THEN 'trustworthy' WHEN score >= 0.55 THEN 'review' ELSE 'unreliable' END AS label FROM r")
+@query(SCORED + "SELECT job_id, score, ['F', 'D', 'C', 'B', 'A'][rank] AS grade, CASE WHEN score >= 0.8 THEN 'trustworthy' WHEN score >= 0.55 THEN 'needs_review' ELSE 'unreliable' END AS label FROM r")
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("job_id", "score", "grade", "label")
 
