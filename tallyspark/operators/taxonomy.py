@@ -131,3 +131,26 @@ def promotable(aliases: DataFrame, count: int = 3, entities: int = 2) -> DataFra
 def stale(last_seen: Column, today: Column, days: int = 180) -> Column:
     """Not seen for days; never seen counts as stale."""
     return last_seen.isNull() | (F.date_diff(today, last_seen) > days)
+
+
+def cascade(labels: DataFrame, stages: Sequence[tuple[str, DataFrame, float]]) -> DataFrame:
+    """Q: each label's name by the first stage that knows it well enough: label, canonical_name, confidence, method; unmapped with confidence 0 if none does.
+
+    stages: method, frame of label, canonical_name, confidence, and the least confidence, in order. Of a stage's rows for a
+    label the surest counts, of equals the first by name. Labels of null have no row.
+    """
+    rows = None
+    for i, (method, frame, least) in enumerate(stages):
+        part = frame.where(F.col("confidence") >= least).select("label", "canonical_name", "confidence", F.lit(method).alias("method"), F.lit(i).alias("_stage"))
+        rows = part if rows is None else rows.unionByName(part)
+    best = rows.groupBy("label").agg(F.min_by(F.struct("canonical_name", "confidence", "method"), F.struct("_stage", -F.col("confidence"), "canonical_name")).alias("_best"))
+    found = labels.select("label").distinct().where("label is not null").join(best, "label", "left")
+    return found.select("label", F.coalesce("_best.canonical_name", F.lit("unmapped")).alias("canonical_name"), F.coalesce("_best.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("_best.method", F.lit("none")).alias("method"))
+
+
+def remapped(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Q: mappings after a second pass, which replaces only what it is surer of; a second pass that unmaps changes nothing."""
+    n = new.select("label", F.col("canonical_name").alias("_name"), F.col("confidence").alias("_sure"))
+    better = F.coalesce((F.col("_sure") > F.col("confidence")) & (F.col("_name") != "unmapped"), F.lit(False))
+    rows = old.join(n, "label", "left").withColumn("_better", better)
+    return rows.select("label", F.when(F.col("_better"), F.col("_name")).otherwise(F.col("canonical_name")).alias("canonical_name"), F.when(F.col("_better"), F.col("_sure")).otherwise(F.col("confidence")).alias("confidence"), F.when(F.col("_better"), "remapped").otherwise(F.col("method")).alias("method"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import rates
+from ..operators import rates, taxonomy
 from ..operators.facts import first_wins, redirect
 from ..sources import roles
 from .base import query
@@ -69,3 +69,34 @@ def first_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = roles.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job_id"), F.col("o_orderpriority").alias("canonical_name"), F.year("o_orderdate").alias("period"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("value"))
     gone = spark.createDataFrame([("5-LOW", "4-NOT SPECIFIED"), ("1-URGENT", "2-HIGH")], "name string, target string")
     return redirect(first_wins(rows, ["job_id", "canonical_name", "period"], "seq"), gone)
+
+
+CASCADE = """p AS (SELECT p_name || ' ' || p_partkey % 700 AS label, p_brand AS canonical_name, p_partkey AS k FROM part), s AS (
+ SELECT label, canonical_name, CAST(90 + k % 11 AS DOUBLE) / 100 AS confidence, 'pattern' AS method, 0 AS stage FROM p WHERE k % 3 = 0 AND 90 + k % 11 >= 95 UNION ALL
+ SELECT label, 'e' || canonical_name, CAST(80 + k % 20 AS DOUBLE) / 100, 'embedding', 1 FROM p WHERE k % 4 = 0 AND 80 + k % 20 >= 92 UNION ALL
+ SELECT label, 'm' || canonical_name, CAST(k % 100 AS DOUBLE) / 100, 'mapper', 2 FROM p WHERE k % 5 <> 0 AND k % 100 >= 30),
+b AS (SELECT * FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY label ORDER BY stage, confidence DESC, canonical_name) = 1),
+c AS (SELECT label, COALESCE(canonical_name, 'unmapped') AS canonical_name, COALESCE(confidence, 0.0) AS confidence, COALESCE(method, 'none') AS method FROM (SELECT DISTINCT label FROM p) LEFT JOIN b USING (label))"""
+
+
+def _cascade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("p_partkey")
+    p = roles.table(spark, sf_dir, "part").withColumn("label", F.concat_ws(" ", "p_name", (k % 700).cast("string")))
+    stage = lambda mark, low, n, keep: p.where(keep).select("label", F.concat(F.lit(mark), "p_brand").alias("canonical_name"), ((low + k % n).cast("double") / 100).alias("confidence"))
+    stages = [("pattern", stage("", 90, 11, "p_partkey % 3 = 0"), 0.95), ("embedding", stage("e", 80, 20, "p_partkey % 4 = 0"), 0.92), ("mapper", stage("m", 0, 100, "p_partkey % 5 <> 0"), 0.30)]
+    return p, taxonomy.cascade(p, stages)
+
+
+@query("WITH " + CASCADE + " SELECT * FROM c")
+def mapping_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q"""
+    return _cascade(spark, sf_dir)[1]
+
+
+@query("WITH " + CASCADE + ", n AS (SELECT label, CASE WHEN MIN(k) % 6 = 0 THEN 'unmapped' ELSE 'second' END AS name, CAST(MIN(k) % 90 AS DOUBLE) / 100 AS sure FROM p WHERE k % 2 = 0 GROUP BY 1) SELECT label, CASE WHEN sure > confidence AND name <> 'unmapped' THEN name ELSE canonical_name END AS canonical_name, CASE WHEN sure > confidence AND name <> 'unmapped' THEN sure ELSE confidence END AS confidence, CASE WHEN sure > confidence AND name <> 'unmapped' THEN 'remapped' ELSE method END AS method FROM c LEFT JOIN n USING (label)")
+def second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q: a second pass accepts only higher confidence."""
+    p, first = _cascade(spark, sf_dir)
+    k = F.min("p_partkey")
+    new = p.where("p_partkey % 2 = 0").groupBy("label").agg(F.when(k % 6 == 0, "unmapped").otherwise("second").alias("canonical_name"), ((k % 90).cast("double") / 100).alias("confidence"))
+    return taxonomy.remapped(first, new)
