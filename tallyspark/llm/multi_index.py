@@ -3,7 +3,7 @@
 Vectors are scaled to length one and cut into halves; each half is quantised by its own k-means, fitted on a bounded
 sample (sample_rows vectors of least hash, a parameter). A pair of centroids is a cell, and every vector is in one. For
 a query, a heap gives the cells in the order of their summed distances; cells are taken until they hold at least
-min_entries vectors and at least the given share of all. The entries of these cells are reranked by the exact cosine.
+min_entries vectors (so that there are k of them) and at least the given share of all. The entries of these cells are reranked by the exact cosine.
 
 Entries lie in blocks of about block_rows, made from the cells' counts: small cells share a block, a large cell (a
 third of all rows may be one) has many, by hash of the id. A query goes once to each block in which it visits cells.
@@ -119,7 +119,7 @@ def matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", centroids: int = 64, sample_rows: int = 20_000, share: float = 0.45, min_entries: int = 4_096, block_rows: int = 4_096, group_rows: int = 4_096) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", centroids: int = 64, sample_rows: int = 20_000, share: float = 0.4, min_entries: int = 250, block_rows: int = 4_096, group_rows: int = 4_096) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which queries, a condition on vec_id, holds."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("x")).where(F.col("vec_id").isNotNull() & usable("x"))
