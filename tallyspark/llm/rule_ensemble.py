@@ -199,12 +199,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, use: Column | None = None, s
     return fit(found[list(FEATURES)].to_numpy(float), found["_y"].to_numpy(float))
 
 
+def _free(docs: DataFrame) -> str:
+    """A name that no column of docs has, whatever its case."""
+    name, taken = "_stats", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def score_quality(docs: DataFrame, model: RuleModel, text: str = "text", into: str = "score") -> DataFrame:
     """docs and its score."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return with_statistics(docs, text).select(*columns, model.column("_stats").alias(into))
+    columns, stats = [F.col(f"`{c}`") for c in docs.columns], _free(docs)
+    return with_statistics(docs, text, stats).select(*columns, model.column(stats).alias(into))
 
 
 def filter_good(docs: DataFrame, model: RuleModel, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, that score at least least."""
-    return with_statistics(docs, text).where(model.column("_stats") >= least).select([F.col(f"`{c}`") for c in docs.columns])
+    stats = _free(docs)
+    return with_statistics(docs, text, stats).where(model.column(stats) >= least).select([F.col(f"`{c}`") for c in docs.columns])

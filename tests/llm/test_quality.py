@@ -164,3 +164,33 @@ def test_toxicity_without_toxic_labels(spark):
 def test_features(word):
     found = toxicity.features(word)
     assert all(0 <= b < toxicity.BUCKETS for b in found) and (len(found) > 0) == any(chr(c).isalnum() or c > 127 for c in word)
+
+
+def test_severity_equals_the_formula(spark):
+    """Recomputed text by text from weights and thresholds."""
+    docs, labels, _ = labelled(spark, 300)
+    model = toxicity.fit_toxicity(docs, labels)
+    assert model.weights and 0 < model.cutoff < 1
+    for r, s in zip(docs.orderBy("doc_id").collect(), toxicity.score_toxicity(docs, model).orderBy("doc_id").collect(), strict=True):
+        counts = {}
+        for word in (r.text or "").encode().split():
+            for b in toxicity.features(word):
+                counts[b] = counts.get(b, 0) + 1
+        z = sum(w * np.log(1 + counts[b]) for b, w in model.weights.items() if b in counts)
+        p = [1 / (1 + np.exp(t - z)) for t in model.thresholds]
+        assert s.expected_severity == pytest.approx(sum(p), abs=1e-9) and s.grade == sum(x >= model.cutoff for x in p)
+
+
+def test_repeated_ids_stay_within_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text number {i} of one id Vilename" + "!" * (i % 3), None) for i in range(200)] + [(2, "fine words", "x")] * 50, "doc_id long, text string, _same string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels, sample_rows=40)
+    assert model.thresholds == sorted(model.thresholds) and toxicity.score_toxicity(docs, model).count() == 250
+
+
+def test_statistics_keep_clashing_columns(spark):
+    docs, labels, _ = labelled(spark, 60)
+    docs = docs.withColumns({"_stats": F.lit("mine"), "_STATS_": F.lit(1)})
+    model = rule_ensemble.fit_quality(docs, labels)
+    assert rule_ensemble.score_quality(docs, model, into="s").select("_stats").distinct().first()[0] == "mine"
+    assert rule_ensemble.filter_good(docs, model, least=0.0).columns == docs.columns
