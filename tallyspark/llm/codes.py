@@ -20,6 +20,22 @@ def mixed(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def grouped(values: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values below top, ascending, and for each value which it is. Where both fit into 64 bits, value and place are sorted as one number."""
+    bits = max(1, len(values) - 1).bit_length()
+    if max(0, top - 1).bit_length() + bits <= 64:
+        packed = np.sort((values.astype(np.uint64) << np.uint64(bits)) | np.arange(len(values), dtype=np.uint64))
+        keys, places = packed >> np.uint64(bits), (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+    else:
+        places = np.argsort(values)
+        keys = values[places].astype(np.uint64)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    which = np.empty(len(keys), np.int32)
+    which[places] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], which
+
+
 def squeezed(values: np.ndarray) -> bytes:
     """Whole numbers of any order, none negative: the bytes of each place together, compressed."""
     planes = np.ascontiguousarray(values.astype("<i8")).view(np.uint8).reshape(-1, 8)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,9 +25,11 @@ def crc_mod(col: str, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (local tests), one of our own."""
+    """The folder of spark.checkpoint.dir; where that is unset one of our own, but only in a session on this machine: executors elsewhere wouldn't see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tallyspark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -40,6 +43,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", pieces: int = 200) -> DataFrame:
+    """left joined with right, which has one row a key. Keys with over 1 / pieces of left's rows, fewer than pieces, get right's rows by broadcast, so that no task gets all of a key."""
+    total = left.count()
+    keys = [r[0] for r in left.groupBy(key).count().where(F.col("count") * pieces > total).select(key).dropna().collect()]
+    if not keys:
+        return left.join(right, key, how)
+    hot = F.coalesce(F.col(key).isin(keys), F.lit(False))
+    return left.where(hot).join(F.broadcast(right.where(hot)), key, how).unionByName(left.where(~hot).join(right.where(~hot), key, how))
+
+
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """Like stash, in buckets of the key: joins and groups on it that read the result don't shuffle it."""
     spark = df.sparkSession

@@ -11,7 +11,7 @@ fingerprints differ in at most two bits if and only if they share a point, so ea
 point with it. This finds the same components with rows in proportion to the members, never all pairs.
 
 Null, empty and blank texts have fingerprint zero, which is linked like any other. Rows without an id have a result
-too, but give no component its id. Repeated rows fall together. An empty table gives no rows. Other columns are ignored.
+too, but give no component its id. A fingerprint or a component with a large share of the rows gets its class by broadcast. Repeated rows fall together. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, as_bytes, slices, stash
+from .common import arrow, as_bytes, join_hot, slices, stash
 from .components import components
 
 SEED, MASK, BLOCK = 42, 0xFFFFFFFF, 1 << 16
@@ -85,6 +85,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # roots are members too
     members = found.select(F.col("node").alias("fp"), "root").unionByName(found.select(F.col("root").alias("fp"), "root").distinct())
     firsts = members.join(fps, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
-    of = members.join(firsts, "root").select("fp", "component_id")
+    of = join_hot(members, firsts, "root").select("fp", "component_id")
     classes = fps.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_hot(rows, classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
