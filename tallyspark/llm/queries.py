@@ -22,7 +22,7 @@ def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"), follow=True)
 
 
 def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ by lines; parts of less than min_words words only count as a whole.
 Linking. A part's original is the earliest message of the same conversation that has the part in its own text, if it is
 earlier than the quoting message; else the earliest of all messages, if that is earlier by (conv_id, turn). So links
 never form a cycle, and the join gets one row for each hash: common passages aren't multiplied. A message's parent is the
-original of its passage of the lowest level, then the longest part, then the latest original.
+original of its passage of the lowest level, then the longest part, then the latest original. Where follow asks for it, a
+message without such an original answers the one before it in its conversation.
 
 Ordering. Roots and depths come from pointer doubling over parents. Rows are ordered by root, depth, and message, which
 puts replies behind what they answer; a conversation of any size spreads over the sort's tasks.
@@ -23,7 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow, as_text, slices, stash
@@ -93,7 +94,7 @@ def _parse(min_words: int):
     return run
 
 
-def link_quotes(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", min_words: int = 3) -> DataFrame:
+def link_quotes(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", min_words: int = 3, follow: bool = False) -> DataFrame:
     """conv_id, turn, role, text (without quotations), n_quoted (passages), parent_conv, parent_turn, root_conv, root_turn, depth; in reply order."""
     rows = messages.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).alias("text"))
     parsed = stash(rows.mapInArrow(_parse(min_words), "conv_id long, turn long, role string, text string, n_quoted int, parts array<struct<level: int, words: int, hash: binary>>"), "messages")
@@ -106,6 +107,9 @@ def link_quotes(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     original = F.when(F.col("here") < F.col("turn"), F.struct("conv_id", F.col("here").alias("turn"))).when(F.col("anywhere") < me, F.col("anywhere"))
     best = F.max_by("original", F.struct(-F.col("level"), "words", "original"))
     parents = stash(found.withColumn("original", original).where("original is not null").groupBy("conv_id", "turn").agg(best.alias("up")), "parents")
+    if follow:
+        before = _before(parsed).join(parents.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti")
+        parents = stash(parents.unionByName(before.select("conv_id", "turn", F.struct("conv_id", F.col("before").alias("turn")).alias("up"))), "replies")
     roots = _roots(parents.select(F.struct("conv_id", "turn").alias("node"), F.col("up").alias("root"), F.lit(1).alias("depth")))
     out = parsed.join(parents, ["conv_id", "turn"], "left").join(roots.select(F.col("node.conv_id").alias("conv_id"), F.col("node.turn").alias("turn"), "root", "depth"), ["conv_id", "turn"], "left")
     return out.select(
@@ -114,6 +118,15 @@ def link_quotes(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     ).orderBy("root_conv", "root_turn", "depth", "conv_id", "turn")
 
 
+def _before(messages: DataFrame, piece: int = 1024) -> DataFrame:
+    """conv_id, turn and the turn before it, if there is one. Turns are ordered in pieces, as a conversation may hold a large share of all rows."""
+    turns = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn").distinct().withColumn("piece", F.floor(F.col("turn") / piece))
+    near = turns.withColumn("near", F.lag("turn").over(Window.partitionBy("conv_id", "piece").orderBy("turn")))
+    last = turns.groupBy("conv_id", "piece").agg(F.max("turn").alias("last"))
+    last = last.withColumn("far", F.lag("last").over(Window.partitionBy("conv_id").orderBy("piece"))).drop("last")
+    return near.join(last, ["conv_id", "piece"]).select("conv_id", "turn", F.coalesce("near", "far").alias("before")).where("before is not null")
+
+
 def _roots(up: DataFrame) -> DataFrame:
     """Pointer doubling: node, its root and the links between."""
     up = stash(up, "up")

@@ -1,3 +1,5 @@
+import random
+
 from tallyspark.llm import quotes
 
 ROWS = [
@@ -44,3 +46,32 @@ def test_long_chain(spark):
 def test_levels():
     found = quotes.passages(">> a\n> > b\n> c\nd\nJo schrieb:\n> e")
     assert found == [(2, ["a", "b"]), (1, ["c"]), (0, ["d"]), (1, ["e"])]
+
+
+def test_replies_follow_unless_they_quote(spark):
+    """Against brute force: random conversations, in which some messages quote an earlier one, two levels deep at times."""
+    rnd = random.Random(8)
+    rows, want = [], {}
+    for conv in range(6):
+        turns, own = sorted(rnd.sample(range(5000), 25)), {}
+        for i, turn in enumerate(turns):
+            own[turn] = f"message of {conv} at turn {turn} says this"
+            parent = turns[i - 1] if i else None
+            quoted = rnd.choice(turns[:i]) if i and rnd.random() < 0.5 else None
+            if quoted is not None:
+                parent = quoted
+            deeper = want.get((conv, quoted), (None, 0))[0] if quoted is not None else None
+            lines = ([f"> > {own[deeper[1]]}"] if deeper and rnd.random() < 0.5 else []) + ([f"> {own[quoted].upper()}"] if quoted is not None else [])
+            rows.append((conv, turn, "user", "\n".join([*lines, own[turn]])))
+            want[conv, turn] = ((conv, parent) if parent is not None else None, want[conv, parent][1] + 1 if parent is not None else 0)
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3), follow=True).collect()
+    assert {(r.conv_id, r.turn): ((r.parent_conv, r.parent_turn) if r.parent_conv is not None else None, r.depth) for r in got} == want
+    place = {(r.conv_id, r.turn): i for i, r in enumerate(got)}
+    assert all(place[p] < place[m] for m, (p, _) in want.items() if p)
+
+
+def test_following_skips_nulls_and_repeats(spark):
+    rows = [(1, 0, "a"), (1, 0, "a"), (1, 7, None), (1, 2000, ""), (None, 1, "x"), (1, None, "y")]
+    got = quotes.link_quotes(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string"), follow=True).collect()
+    assert len(got) == len(rows)
+    assert {(r.turn, r.parent_turn) for r in got if r.conv_id == 1 and r.turn is not None} == {(0, None), (7, 0), (2000, 7)}
