@@ -2,14 +2,15 @@
 
 Counting. All words of the training texts are counted exactly, and all n-grams that occur at least twice are kept, at
 any corpus size. Nothing that grows is broadcast or gathered. Texts are cut into blocks of about BLOCK tokens, written
-once in buckets, so that no later step shuffles them. Orders are counted one after another: a block sends each part the
-n-grams that it has, with the counts of its training texts; a part adds up, numbers those that are kept, and answers
-each block with counts and numbers of what it asked. An n-gram of order k is asked for only if its two parts of order
-k - 1 are kept, which loses none, and is the pair of its prefix's and its word's number, so it is exact; words are
-64-bit hashes, two of N of which are equal with a chance of about N^2 / 2^65. An n-gram's part is chosen by its prefix;
-the continuations of a prefix that occurs often are split over as many parts as its count needs. So the part also knows
-what the kept n-grams after a prefix add up to, and a block asks it for that too. Then each block walks its own
-automaton of what it was told, which has every arc of the whole automaton that its texts can take.
+once in buckets, so that no later step shuffles them. Twice a block sends messages to parts, of which there are as many
+as the tokens need, and is answered. First it sends its words, by 64-bit hashes, and the places of its longer n-grams in
+a table of counters, each part of which has ROOM places for an n-gram. It is told the words' counts and numbers, and
+which places were met twice: an n-gram alone in its place is out. Then it sends the others, exactly, as pairs of context
+and word, in ascending contexts by numbers of words, and is told their counts, and what the kept n-grams after each
+context add up to. A context's part gets what follows it; what follows a context of frequent words is split over as many
+parts as their count needs. Then each block walks its own automaton of what it was told, which has every arc of the
+whole automaton that its texts can take. Two of N words share a hash with a chance of about N^2 / 2^65; contexts of more
+than two words are hashes too.
 
 Model. Interpolated absolute discounting: p(w | h) = (c(hw) - d) / c(h) + b(h) p(w | h'), the first term only for kept
 hw, where h' is h without its first word and b(h) is what the kept terms leave. Without context, p is the base's
@@ -36,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .codes import ascending, hashes, mixed, numbers, spread, squeezed
+from .codes import ascending, grouped, hashes, mixed, numbers, spread, squeezed
 from .common import arrow, bucketed, slices, stash
 
 #: The end as a word, which no word equals; numbers of the end and the begin.
@@ -44,7 +45,9 @@ END, END_ID, BEGIN_ID = b"\n", 0, 1
 #: Distinct words, or n-grams, that a counting task holds before it hands on what it has.
 HELD_WORDS, HELD_GRAMS = 1_000_000, 4_000_000
 #: Tokens of a block, and for each part, and rows of texts that are split at a time.
-BLOCK, SPLIT = 1 << 21, 64
+BLOCK, SPLIT = 1 << 20, 256
+#: Places for each n-gram in the table of counters.
+ROOM = 16
 
 #: Words of a text that are walked one after another; the runs of all texts of a block are walked side by side.
 RUN = 128
@@ -308,188 +311,205 @@ def _training(marks: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.invert(marks), False).to_numpy(zero_copy_only=False)
 
 
-@dataclass
-class Order:
-    """A block's n-grams of one order: for each place the one that ends there (or -1); where each was sent to; what was told of them."""
-
-    at: np.ndarray  # by place
-    keys: np.ndarray  # ascending by (part, key), as all below
-    parts: np.ndarray
-    n: np.ndarray  # in the block's training texts
-    contexts: np.ndarray  # numbers of n-grams one shorter, ascending by (part, context)
-    context_parts: np.ndarray
-    count: np.ndarray | None = None  # in all training texts, 0 for those that aren't kept; for words in any case
-    number: np.ndarray | None = None  # of the kept, else -1
-    back: np.ndarray | None = None  # b
-
-
 class Block:
-    """A block's places (each text's words behind a begin), and its n-grams order by order."""
+    """A block's places: each text's words behind a begin."""
 
-    def __init__(self, words: bytes, codes: bytes, lens: bytes, marks: pa.Array, parts: int) -> None:
-        self.words, self.codes, self.lens, self.parts = np.frombuffer(words, np.uint64), spread(codes), spread(lens), parts
-        begins = np.r_[0, np.cumsum(self.lens)[:-1]] if len(self.lens) else np.zeros(0, np.int64)
-        self.ids = np.insert(self.codes, begins, len(self.words))
+    def __init__(self, words: bytes, codes: bytes, lens: bytes, marks: pa.Array, parts: int, order: int) -> None:
+        self.words, self.codes, self.lens, self.parts, self.order = np.frombuffer(words, np.uint64), spread(codes), spread(lens), parts, order
+        self.ids = np.insert(self.codes, np.cumsum(self.lens) - self.lens, len(self.words))
+        self.inner = self.ids != len(self.words)
         self.learned = np.repeat(_training(marks), self.lens + 1)
-        self.orders: list[Order] = []
-        self.width = 0  # word numbers are below
-
-    def _order(self, places: np.ndarray, key: np.ndarray, part: np.ndarray, contexts: tuple[np.ndarray, np.ndarray]) -> Order:
-        own, first, back = np.unique(key, return_index=True, return_inverse=True)
-        by = np.lexsort((own, part[first]))
-        rank = np.empty(len(own), np.int64)
-        rank[by] = np.arange(len(own))
-        at = np.full(len(self.ids), -1)
-        at[places] = rank[back]
-        seen = at[places[self.learned[places]]]
-        out = Order(at, own[by], part[first][by], np.bincount(seen, minlength=len(own)), *contexts)
-        self.orders.append(out)
-        return out
-
-    def ask(self, order: int) -> Order:
-        """The n-grams of the next order, all of whose shorter ones have been told."""
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        if order == 1:
-            key = np.append(self.words, hashes([BEGIN]))
-            return self._order(np.arange(len(self.ids)), key[self.ids], (key % np.uint64(self.parts)).astype(np.int64)[self.ids], none)
-        before, words = self.orders[-1], self.orders[0]
-        last, inner = before.at, self.ids != len(self.words)
-        kept = np.append(before.number >= 0, False)[last]  # the place's n-gram one shorter is kept
-        places = np.flatnonzero(inner & kept & np.r_[False, kept[:-1]])
-        context, word = (x.astype(np.uint64) for x in (before.number[last[places - 1]], words.number[words.at[places]]))
-        pieces = (before.count // BLOCK + 1).astype(np.uint64)  # of the continuations of each context
-        part = mixed(context, word % pieces[last[places - 1]]) % np.uint64(self.parts)
-        has = np.unique(last[np.flatnonzero(inner) - 1])  # contexts that something follows
-        has = has[has >= 0]
-        has = has[before.number[has] >= 0]
-        times = pieces[has].astype(np.int64)
-        each = np.repeat(has, times)
-        piece = (np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
-        asked = before.number[each].astype(np.uint64)
-        where = (mixed(asked, piece) % np.uint64(self.parts)).astype(np.int64)
-        return self._order(places, context * np.uint64(self.width) + word, part.astype(np.int64), _distinct(asked, where))
-
-    def sent(self, order: int, block: int) -> Iterator[pa.RecordBatch]:
-        """One row for each part that is asked something."""
-        o = self.ask(order)
-        cuts, more = (np.searchsorted(x, np.arange(self.parts + 1)) for x in (o.parts, o.context_parts))
-        to = np.flatnonzero((np.diff(cuts) > 0) | (np.diff(more) > 0))
-        shrink = np.uint64(self.parts if order == 1 else 1)  # hashes of a part agree in their rest
-        rows = {"keys": [ascending(o.keys[cuts[p] : cuts[p + 1]] // shrink) for p in to], "n": [squeezed(o.n[cuts[p] : cuts[p + 1]]) for p in to], "contexts": [ascending(o.contexts[more[p] : more[p + 1]]) for p in to]}
-        yield arrow({"part": (to, pa.int64()), "block": (np.full(len(to), block), pa.int64())} | {k: (v, pa.binary()) for k, v in rows.items()})
-
-    def told(self, order: int, rows: list[tuple[int, bytes, bytes, bytes, bytes]], discount: float) -> None:
-        """Takes the answers (part, counts, numbers, sums after contexts, how many are summed) to what was asked."""
-        o = self.orders[order - 1]
-        o.count, o.number = np.zeros(len(o.keys), np.int64), np.full(len(o.keys), -1)
-        sums, times = np.zeros((2, len(o.contexts)))
-        for part, count, number, total, n in rows:
-            own = slice(*np.searchsorted(o.parts, [part, part + 1]))
-            o.count[own] = spread(count)
-            places = np.flatnonzero(o.count[own] > 0) + own.start
-            ids = numbers(number).astype(np.int64)
-            if order == 1:  # words that aren't kept have counts too; the first of ids says which are
-                places = places[np.unpackbits(np.frombuffer(total, np.uint8), count=len(places)).astype(bool)]
-            else:
-                of = slice(*np.searchsorted(o.context_parts, [part, part + 1]))
-                sums[of], times[of] = spread(total), spread(n)
-            o.number[places] = ids
-        if order > 1:
-            before = self.orders[order - 2]
-            by = np.argsort(before.number)
-            at = by[np.searchsorted(before.number[by], o.contexts.astype(np.int64))]
-            total = np.bincount(at, sums - discount * times, minlength=len(before.number))
-            before.back = np.maximum(1 - total / np.maximum(before.count, 1), 1e-12)
+
+    def ask_words(self) -> None:
+        """Words and the begin by part; counters of longer n-grams by part, and for each order the counter of the n-gram that ends at a place, or -1."""
+        parts, hashed = np.uint64(self.parts), np.append(self.words, hashes([BEGIN]))
+        part = (hashed % parts).astype(np.int64)
+        self.by_part = np.lexsort((hashed, part))
+        self.word_parts, self.word_keys = part[self.by_part], (hashed // parts)[self.by_part]
+        self.word_n = np.bincount(self.ids[self.learned], minlength=len(hashed))
+        room, own = np.uint64(ROOM * self.order * BLOCK), hashed[self.ids]
+        key, there, codes, places = own, np.ones(len(own), bool), [], []
+        for _ in range(1, self.order):
+            key = np.r_[np.zeros(1, np.uint64), mixed(key[:-1], own[1:])]
+            there = np.r_[False, there[:-1] & self.inner[1:]]
+            places.append(np.flatnonzero(there))
+            codes.append((key[places[-1]] % parts) * room + (key[places[-1]] // parts) % room)
+        flat = np.concatenate([np.zeros(0, np.uint64), *codes])
+        self.slots, at = grouped(flat, self.parts * int(room))
+        learned = np.concatenate([np.zeros(0, bool), *(self.learned[p] for p in places)])
+        self.slot_n = np.minimum(np.bincount(at[learned], minlength=len(self.slots)), 2)
+        self.slot_at = []
+        for p, end in zip(places, np.cumsum([len(p) for p in places])):
+            self.slot_at.append(np.full(len(own), -1, np.int32))
+            self.slot_at[-1][p] = at[end - len(p) : end]
+        self.slot_cuts = np.searchsorted(self.slots, np.arange(self.parts + 1, dtype=np.uint64) * room)
+        self.slots %= room
+        self.word_cuts = np.searchsorted(self.word_parts, np.arange(self.parts + 1))
+
+    def words_sent(self, block: int) -> Iterator[pa.RecordBatch]:
+        n, w, s = self.word_n[self.by_part], self.word_cuts, self.slot_cuts
+        to = np.flatnonzero((np.diff(w) > 0) | (np.diff(s) > 0))
+        rows = {"keys": [ascending(self.word_keys[w[p] : w[p + 1]]) for p in to], "n": [squeezed(n[w[p] : w[p + 1]]) for p in to], "more": [ascending(self.slots[s[p] : s[p + 1]]) for p in to], "m": [squeezed(self.slot_n[s[p] : s[p + 1]]) for p in to]}
+        yield _message(block, to, rows)
+
+    def words_told(self, rows: dict[int, tuple[bytes, bytes, bytes]]) -> None:
+        """By part: counts of words, numbers of the kept ones (others: 0; else one more), and which counters were met twice."""
+        (count, number), twice = np.zeros((2, len(self.by_part)), np.int64), np.zeros(len(self.slots), bool)
+        for part, (n, ids, met) in rows.items():
+            own = slice(self.word_cuts[part], self.word_cuts[part + 1])
+            count[own], number[own] = spread(n), spread(ids) - 1
+            own = slice(self.slot_cuts[part], self.slot_cuts[part + 1])
+            twice[own] = np.unpackbits(np.frombuffer(met, np.uint8), count=own.stop - own.start).astype(bool)
+        self.count, self.number = np.zeros((2, len(count)), np.int64)
+        self.count[self.by_part], self.number[self.by_part] = count, number
+        self.twice = np.append(twice, False)
+
+    def ask_grams(self, width: int) -> None:
+        """Contexts by part, and the n-grams that may be kept as context and word, by part and context."""
+        word = self.number[self.ids]
+        before, low, key = word >= 0, self.count[self.ids], word.astype(np.uint64)
+        may = before & self.inner
+        contexts, least, follow, grams = [], [], [], []
+        for k in range(1, self.order):
+            at = np.flatnonzero(np.r_[False, before[:-1]] & self.inner)  # places behind a context of k words
+            follow.append(at)
+            contexts.append(key[at - 1])
+            least.append(low[at - 1])
+            may = np.r_[False, before[:-1]] & may & self.twice[self.slot_at[k - 1]]
+            grams.append(np.flatnonzero(may))
+            longer = (key[:-1] + np.uint64(1)) * np.uint64(width) + key[1:] if k == 1 else mixed(key[:-1], key[1:])
+            key, low, before = np.r_[np.zeros(1, np.uint64), longer], np.minimum(low, np.r_[0, low[:-1]]), may
+        flat = np.concatenate([np.zeros(0, np.uint64), *contexts])
+        own, back = grouped(flat, (width + 1) * width if self.order < 4 else 1 << 64)
+        pieces = np.empty(len(own), np.int64)
+        pieces[back] = np.concatenate([np.zeros(0, np.int64), *least]) // BLOCK + 1
+        ends = np.cumsum([len(x) for x in follow])
+        self.context_at, codes = [], []
+        for at, end, places in zip(follow, ends, grams):
+            self.context_at.append(np.full(len(self.ids), -1, np.int32))
+            self.context_at[-1][at] = back[end - len(at) : end]
+            codes.append(self.context_at[-1][places] * np.int64(width) + word[places])
+        items, at = grouped(np.concatenate([np.zeros(0, np.int64), *codes]), max(1, len(own)) * width)
+        items = items.astype(np.int64)
+        self.gram_at = []
+        for places, end in zip(grams, np.cumsum([len(x) for x in grams])):
+            self.gram_at.append(np.full(len(self.ids), -1, np.int32))
+            self.gram_at[-1][places] = at[end - len(places) : end]
+        n = np.bincount(at[np.concatenate([np.zeros(0, bool), *(self.learned[p] for p in grams)])], minlength=len(items))
+        context, words, parts = items // width, items % width, np.uint64(self.parts)
+        part = (mixed(own[context], words.astype(np.uint64) % pieces[context].astype(np.uint64)) % parts).astype(np.int64)
+        self.gram_by = np.argsort(part, kind="stable")
+        each = np.repeat(np.arange(len(own)), pieces)
+        piece = (np.arange(len(each)) - np.repeat(np.cumsum(pieces) - pieces, pieces)).astype(np.uint64)
+        where = (mixed(own[each], piece) % parts).astype(np.int64)
+        rows = grouped(where * max(1, len(own)) + each, self.parts * max(1, len(own)))[0].astype(np.int64)  # pieces of a context may fall into one part
+        self.context_parts, self.context_rows = np.divmod(rows, max(1, len(own)))
+        self.contexts = own
+        part, context = part[self.gram_by], context[self.gram_by]
+        self.gram_words, self.gram_n = words[self.gram_by], n[self.gram_by]
+        self.following = np.bincount(np.searchsorted(rows, part * max(1, len(own)) + context), minlength=len(rows))
+        cuts = np.arange(self.parts + 1)
+        self.context_cuts, self.gram_cuts = np.searchsorted(self.context_parts, cuts), np.searchsorted(part, cuts)
+
+    def grams_sent(self, block: int) -> Iterator[pa.RecordBatch]:
+        c, g = self.context_cuts, self.gram_cuts
+        to = np.flatnonzero(np.diff(c) > 0)
+        keys = self.contexts[self.context_rows]
+        rows = {"keys": [ascending(keys[c[p] : c[p + 1]]) for p in to], "n": [squeezed(self.following[c[p] : c[p + 1]]) for p in to], "more": [squeezed(self.gram_words[g[p] : g[p + 1]]) for p in to], "m": [squeezed(self.gram_n[g[p] : g[p + 1]]) for p in to]}
+        yield _message(block, to, rows)
+
+    def grams_told(self, rows: dict[int, tuple[bytes, bytes, bytes]], discount: float) -> None:
+        """By part: counts of n-grams (0 for those that aren't kept), and how many are kept after each context, and their sum."""
+        sums, times, count = np.zeros(len(self.context_rows)), np.zeros(len(self.context_rows)), np.zeros(len(self.gram_words), np.int64)
+        for part, (n, total, of) in rows.items():
+            own = slice(self.context_cuts[part], self.context_cuts[part + 1])
+            sums[own], times[own] = spread(total), spread(of)
+            count[self.gram_cuts[part] : self.gram_cuts[part + 1]] = spread(n)
+        self.taken = np.bincount(self.context_rows, sums - discount * times, minlength=len(self.contexts))
+        self.gram_count = np.zeros(len(count), np.int64)
+        self.gram_count[self.gram_by] = count
 
     def automaton(self, base: Base) -> tuple[Automaton, np.ndarray]:
         """Automaton of what was told, and the number in it of each distinct word of the block, the begin's last."""
-        first = self.orders[0]
-        of_word = np.full(len(self.words) + 1, -1)
-        of_word[self.ids] = first.at
         begin, end = len(self.words), int(np.flatnonzero(self.words == hashes([END])[0])[0])
-        kept = np.flatnonzero(np.append(first.number >= 0, False)[of_word])
+        kept = np.flatnonzero(self.number >= 0)
         listed = np.r_[end, begin, kept[(kept != end) & (kept != begin)]]
         number = np.full(len(self.words) + 1, len(listed))
         number[listed] = np.arange(len(listed))
-        backs = lambda o: np.ones(len(o.keys)) if o.back is None else o.back
-        grams, weights = Grams(range(len(listed)), [first.count[of_word[listed]]], []), [backs(first)[of_word[listed]]]
         word = number[self.ids]
-        own = np.where(word < len(listed), word, -1)
-        for o in self.orders[1:]:
-            places = np.flatnonzero(np.append(o.number >= 0, False)[o.at])
-            found, at, back = np.unique(own[places - 1] * grams.width + word[places], return_index=True, return_inverse=True)
+        own, count = np.where(word < len(listed), word, -1), self.count[listed]
+        grams, backs = Grams(range(len(listed)), [count], []), []
+        for at, context in zip(self.gram_at, self.context_at):
+            back = np.ones(len(count))
+            places = np.flatnonzero(context >= 0)
+            places = places[own[places - 1] >= 0]
+            of = own[places - 1]
+            back[of] = np.maximum(1 - self.taken[context[places]] / np.maximum(count[of], 1), 1e-12)
+            backs.append(back)
+            places = np.flatnonzero(at >= 0)
+            places = places[self.gram_count[at[places]] > 0]
+            found, first, back = np.unique(own[places - 1] * grams.width + word[places], return_index=True, return_inverse=True)
+            count = self.gram_count[at[places[first]]]
             own = np.full(len(self.ids), -1)
             own[places] = back
             grams.keys.append(found)
-            grams.counts.append(o.count[o.at[places[at]]])
-            weights.append(backs(o)[o.at[places[at]]])
-        return Automaton(grams, base, backs=weights), number
+            grams.counts.append(count)
+        return Automaton(grams, base, backs=[*backs, np.ones(len(count))]), number
 
 
-def _distinct(what: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs, ascending by (where, what)."""
-    by = np.lexsort((what, where))
-    what, where = what[by], where[by]
-    new = np.ones(len(what), bool)
-    new[1:] = (where[1:] != where[:-1]) | (what[1:] != what[:-1])
-    return what[new], where[new]
+MESSAGE = "part long, block long, keys binary, n binary, more binary, m binary"
+ANSWER = "kind int, part long, block long, a binary, b binary, c binary, distinct long, widest long"
 
 
-def _blocks_of(table: pa.Table, parts: int) -> Iterator[tuple[int, Block]]:
-    for i in range(table.num_rows):
-        r = {n: table.column(n)[i] for n in table.column_names}
-        yield r["block"].as_py(), Block(*(r[c].as_py() for c in ("words", "codes", "lens")), r["held_out"].values, parts)
+def _message(block: int, to: np.ndarray, rows: dict[str, list[bytes]]) -> pa.RecordBatch:
+    return arrow({"part": (to, pa.int64()), "block": (np.full(len(to), block), pa.int64())} | {k: (v, pa.binary()) for k, v in rows.items()})
 
 
-def _told(block: Block, answers: pa.Table, order: int, width: int, discount: float) -> None:
-    """Asks and takes the answers up to the given order."""
-    block.width = width
-    kinds = answers.column("order").to_numpy()
-    for k in range(1, order + 1):
-        block.ask(k)
-        rows = answers.filter(pa.array(kinds == k)).select(["part", "count", "number", "total", "times"]).to_pylist()
-        block.told(k, [tuple(r.values()) for r in rows], discount)
+def _answer(kind: int, table: pa.Table, columns: list[list[bytes]], distinct: int = 0, widest: int = 0) -> pa.Table:
+    """One row for each of table's; the first says how many words the part has, and its largest number."""
+    n = table.num_rows
+    once = lambda x: pa.array([x] + [0] * (n - 1), pa.int64())
+    return pa.table({"kind": pa.array([kind] * n, pa.int32()), "part": table.column("part"), "block": table.column("block"), **{k: pa.array(v, pa.binary()) for k, v in zip("abc", columns)}, "distinct": once(distinct), "widest": once(widest)})
 
 
-MESSAGE = "part long, block long, keys binary, n binary, contexts binary"
-ANSWER = "order int, part long, block long, count binary, number binary, total binary, times binary, distinct long, widest long"
+def words_answered(messages: DataFrame, parts: int, least: int) -> DataFrame:
+    """Each part adds up words and counters. Frequent words get small numbers."""
+    special = hashes([END, BEGIN])
 
+    def add(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        read = lambda name, f: [f(x) for x in table.column(name).to_pylist()]
+        keys, slots = read("keys", numbers), read("more", numbers)
+        all_, back = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(back, np.concatenate(read("n", spread)), minlength=len(all_)).astype(np.int64)
+        full = all_ * np.uint64(parts) + np.uint64(part)
+        kept = (n >= least) | ((n > 0) & np.isin(full, special))
+        by = np.flatnonzero(kept)[np.argsort(-n[kept], kind="stable")]
+        number = np.full(len(all_), -1)
+        number[by] = np.arange(len(by)) * parts + part
+        counters, at = np.unique(np.concatenate(slots), return_inverse=True)
+        twice = np.bincount(at, np.concatenate(read("m", spread)), minlength=len(counters)) >= 2
+        split = lambda x, of: np.split(x, np.cumsum([len(k) for k in of])[:-1])
+        own, met = split(back, keys), split(twice[at], slots)
+        columns = [[squeezed(n[x]) for x in own], [squeezed(number[x] + 1) for x in own], [np.packbits(x).tobytes() for x in met]]
+        return _answer(1, table, columns, int(((n > 0) & (full != special[1])).sum()), int(number.max()) if len(number) else 0)
 
-def answered(messages: DataFrame, order: int, parts: int, width: int, least: int) -> DataFrame:
-    """Each part adds up what it was sent and answers each block; one of its rows says how many words it has, and its largest number."""
-    special = [int(x) for x in hashes([END, BEGIN])]
+    return messages.groupBy("part").applyInArrow(add, ANSWER)
 
+
+def grams_answered(messages: DataFrame, width: int, least: int) -> DataFrame:
     def add(table: pa.Table) -> pa.Table:
-        part, rows = table.column("part")[0].as_py(), table.select(["block", "keys", "n", "contexts"]).to_pylist()
-        keys = [numbers(r["keys"]) for r in rows]
-        all_, back = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(back, np.concatenate([spread(r["n"]) for r in rows]), minlength=len(all_)).astype(np.int64)
-        kept = n >= least
-        if order == 1:
-            full = all_ * np.uint64(parts) + np.uint64(part)
-            kept |= (n > 0) & np.isin(full, np.array(special, np.uint64))
-            distinct = int(((n > 0) & (full != np.uint64(special[1]))).sum())
-        else:
-            n, distinct = np.where(kept, n, 0), 0
-            context, first, times = np.unique(all_[kept] // np.uint64(width), return_index=True, return_counts=True)
-            sums = np.add.reduceat(n[kept], first) if len(first) else np.zeros(0, np.int64)
-        number = (np.cumsum(kept) - 1) * parts + part
-        out: dict[str, list] = {k: [] for k in ("order", "part", "block", "count", "number", "total", "times", "distinct", "widest")}
-        at = np.cumsum([0, *map(len, keys)])
-        for i, r in enumerate(rows):
-            own = back[at[i] : at[i + 1]]
-            if order == 1:
-                total, more = np.packbits(kept[own[n[own] > 0]]).tobytes(), b""
-            else:
-                asked = numbers(r["contexts"])
-                place = np.minimum(np.searchsorted(context, asked), max(len(context) - 1, 0))
-                hit = context[place] == asked if len(context) else np.zeros(len(asked), bool)
-                total, more = (squeezed(np.where(hit, x[place], 0) if len(x) else np.zeros(len(asked), np.int64)) for x in (sums, times))
-            values = (order, part, r["block"], squeezed(n[own]), ascending(number[own][kept[own]].astype(np.uint64)), total, more, 0 if i else distinct, int(number.max()) if len(number) and not i else 0)
-            for k, v in zip(out, values):
-                out[k].append(v)
-        kinds = {"order": pa.int32(), "count": pa.binary(), "number": pa.binary(), "total": pa.binary(), "times": pa.binary()}
-        return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
+        read = lambda name, f: [f(x) for x in table.column(name).to_pylist()]
+        contexts, words = read("keys", numbers), read("more", spread)
+        all_, at = np.unique(np.concatenate(contexts), return_inverse=True)
+        context = np.repeat(at, np.concatenate(read("n", spread)))
+        items, back = np.unique(context * width + np.concatenate(words), return_inverse=True)
+        n = np.bincount(back, np.concatenate(read("m", spread)), minlength=len(items)).astype(np.int64)
+        n[n < least] = 0
+        total = np.bincount(items // width, n, minlength=len(all_)).astype(np.int64)
+        times = np.bincount(items // width, n > 0, minlength=len(all_)).astype(np.int64)
+        split = lambda x, of: [squeezed(y) for y in np.split(x, np.cumsum([len(k) for k in of])[:-1])]
+        return _answer(2, table, [split(n[back], words), split(total[at], contexts), split(times[at], contexts)])
 
     return messages.groupBy("part").applyInArrow(add, ANSWER)
 
@@ -504,37 +524,45 @@ def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     sizes = found.agg(F.sum("tokens"), F.sum("training")).first()
     parts, least = max(1, -(-int(sizes[0] or 0) // BLOCK)), max(2, int(np.ceil(share * (sizes[1] or 0))))
 
-    def ask(k: int, width: int, answers: DataFrame | None) -> DataFrame:
-        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for number, block in _blocks_of(pa.Table.from_batches([batch]), parts):
-                    yield from block.sent(1, number)
-
-        def later(own: pa.Table, told: pa.Table) -> pa.Table:
-            ((number, block),) = _blocks_of(own, parts)
-            _told(block, told, k - 1, width, DISCOUNT)
-            return pa.Table.from_batches(list(block.sent(k, number)))
-
-        return found.mapInArrow(first, MESSAGE) if answers is None else found.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(later, MESSAGE)
-
-    answers, width, distinct = None, 0, 0
-    for k in range(1, order + 1):
-        more = answered(ask(k, width, answers), k, parts, width, least)
-        if k < order or order == 1:  # read again by all later steps
-            more = stash(more, f"order{k}")
-        if k == 1:
-            told = more.agg(F.max("widest"), F.sum("distinct")).first()
-            width, distinct = max(0, int(told[0] or 0)) + 1, int(told[1] or 0)
-        answers = more if answers is None else answers.unionByName(more)
-    base = Base(int(sizes[1] or 0), distinct)
-
-    def walk(own: pa.Table, told: pa.Table) -> pa.Table:
-        ((_, block),) = _blocks_of(own, parts)
-        _told(block, told, order, width, DISCOUNT)
+    def block_of(table: pa.Table | pa.RecordBatch) -> tuple[int, Block]:
+        r = {n: table.column(n)[0] for n in table.schema.names}
+        return r["block"].as_py(), Block(*(r[c].as_py() for c in ("words", "codes", "lens")), r["held_out"].values, parts, order)
+
+    def told(table: pa.Table, kind: int) -> dict[int, tuple[bytes, bytes, bytes]]:
+        table = table.filter(pc.equal(table.column("kind"), kind))
+        return dict(zip(table.column("part").to_pylist(), zip(*(table.column(c).to_pylist() for c in "abc"))))
+
+    def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number, block = block_of(batch.slice(i, 1))
+                block.ask_words()
+                yield from block.words_sent(number)
+
+    words = stash(words_answered(found.mapInArrow(send_words, MESSAGE), parts, least), "words")  # read again by the walk
+    known = words.agg(F.max("widest"), F.sum("distinct")).first()
+    width, base = max(0, int(known[0] or 0)) + 1, Base(int(sizes[1] or 0), int(known[1] or 0))
+
+    def send_grams(own: pa.Table, answers: pa.Table) -> pa.Table:
+        number, block = block_of(own)
+        block.ask_words()
+        block.words_told(told(answers, 1))
+        block.ask_grams(width)
+        return pa.Table.from_batches(list(block.grams_sent(number)))
+
+    answers = words
+    if order > 1:
+        messages = found.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(send_grams, MESSAGE)
+        answers = words.unionByName(grams_answered(messages, width, least))
+
+    def walk(own: pa.Table, answers: pa.Table) -> pa.Table:
+        _, block = block_of(own)
+        block.ask_words()
+        block.words_told(told(answers, 1))
+        block.ask_grams(width)
+        block.grams_told(told(answers, 2), DISCOUNT)
         automaton, number = block.automaton(base)
-        of_word = np.zeros(len(block.words) + 1, np.int64)
-        of_word[block.ids] = block.orders[0].count[block.orders[0].at]
-        n, lens, ends = of_word[:-1], block.lens, np.cumsum(block.lens)
+        n, lens, ends = block.count[:-1], block.lens, np.cumsum(block.lens)
         owner, logs, rare = np.repeat(np.arange(len(ends)), lens), base.log(n), number[:-1] == automaton.width - 1
         of = lambda x: np.bincount(owner, x[block.codes], minlength=len(ends))
         path = automaton.scores(number[block.codes], ends) + of(np.where(rare, logs, 0.0))
