@@ -366,6 +366,7 @@ class Block:
 
     def ask_grams(self, width: int) -> None:
         """Contexts by part, and the n-grams that may be kept as context and word, by part and context."""
+        self.width = width
         word = self.number[self.ids]
         before, low, key = word >= 0, self.count[self.ids], word.astype(np.uint64)
         may = before & self.inner
@@ -415,7 +416,7 @@ class Block:
         c, g = self.context_cuts, self.gram_cuts
         to = np.flatnonzero(np.diff(c) > 0)
         keys = self.contexts[self.context_rows]
-        rows = {"keys": [ascending(keys[c[p] : c[p + 1]]) for p in to], "n": [squeezed(self.following[c[p] : c[p + 1]]) for p in to], "more": [squeezed(self.gram_words[g[p] : g[p + 1]]) for p in to], "m": [squeezed(self.gram_n[g[p] : g[p + 1]]) for p in to]}
+        rows = {"keys": [_contexts_sent(keys[c[p] : c[p + 1]], self.width) for p in to], "n": [squeezed(self.following[c[p] : c[p + 1]]) for p in to], "more": [squeezed(self.gram_words[g[p] : g[p + 1]]) for p in to], "m": [squeezed(self.gram_n[g[p] : g[p + 1]]) for p in to]}
         yield _message(block, to, rows)
 
     def grams_told(self, rows: dict[int, tuple[bytes, bytes, bytes]], discount: float) -> None:
@@ -461,6 +462,18 @@ MESSAGE = "part long, block long, keys binary, n binary, more binary, m binary"
 ANSWER = "kind int, part long, block long, a binary, b binary, c binary, distinct long, widest long"
 
 
+def _contexts_sent(contexts: np.ndarray, width: int) -> bytes:
+    """Ascending contexts as steps of what comes before the last word, and last words: both small numbers, as frequent words have small ones."""
+    first, last = np.divmod(contexts, np.uint64(max(2, width)))
+    a, b = squeezed(np.diff(first.astype(np.int64), prepend=0)), squeezed(last.astype(np.int64))
+    return len(a).to_bytes(4, "little") + a + b
+
+
+def _contexts(data: bytes, width: int) -> np.ndarray:
+    cut = 4 + int.from_bytes(data[:4], "little")
+    return np.cumsum(spread(data[4:cut])).astype(np.uint64) * np.uint64(max(2, width)) + spread(data[cut:]).astype(np.uint64)
+
+
 def _message(block: int, to: np.ndarray, rows: dict[str, list[bytes]]) -> pa.RecordBatch:
     return arrow({"part": (to, pa.int64()), "block": (np.full(len(to), block), pa.int64())} | {k: (v, pa.binary()) for k, v in rows.items()})
 
@@ -500,7 +513,7 @@ def words_answered(messages: DataFrame, parts: int, least: int) -> DataFrame:
 def grams_answered(messages: DataFrame, width: int, least: int) -> DataFrame:
     def add(table: pa.Table) -> pa.Table:
         read = lambda name, f: [f(x) for x in table.column(name).to_pylist()]
-        contexts, words = read("keys", numbers), read("more", spread)
+        contexts, words = [_contexts(x, width) for x in table.column("keys").to_pylist()], read("more", spread)
         all_, at = np.unique(np.concatenate(contexts), return_inverse=True)
         context = np.repeat(at, np.concatenate(read("n", spread)))
         items, back = np.unique(context * width + np.concatenate(words), return_inverse=True)
