@@ -23,22 +23,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the row of the least id, fingerprint and text hash. Rows without an id stay.
+    """Of each near-duplicate group the row of the least id and text hash. Rows without an id stay.
 
     Rows that share an id but not their text are documents of their own; those that share both are one.
 
     Near duplicates have fingerprints that differ in two bits at most, or five-word shingles of similarity 0.8.
     """
-    named = docs.where("doc_id is not null")
-    prints = simhash.fingerprints(named.withColumn("id", F.struct("doc_id", F.xxhash64("text").alias("hash"))), doc_id="id").select(F.col("doc_id.*"), "fp")
-    prints = stash(prints.distinct(), "prints")
-    heads = stash(shingles.heads(named.withColumn("hash", F.xxhash64("text")), ["doc_id", "hash"]), "heads")
-    sets = heads.select("doc_id", "hash", "own").distinct()
-    rows = stash(prints.join(sets, ["doc_id", "hash"]), "rows")
-    near = simhash.links(stash(rows.select("fp").distinct(), "distinct")).unionByName(rows.select(F.col("fp").alias("a"), F.col("own").alias("b")).distinct()).unionByName(shingles.links(named, heads))
-    found = stash(components(near), "components")
-    members = found.select(F.col("node").alias("own"), "root").unionByName(found.select(F.col("root").alias("own"), "root").distinct())
-    firsts = stash(rows.join(members, "own").groupBy("root").agg(F.min(F.struct("doc_id", "fp", "hash")).alias("first")).select("first.doc_id", "first.hash"), "firsts")
+    named = docs.where("doc_id is not null").withColumn("hash", F.xxhash64("text"))
+    found = shingles.sets(named, ["doc_id", "hash"])
+    rows = stash(found.groupBy("own", "fp").agg(F.min(F.struct("doc_id", "hash")).alias("first")), "rows")
+    near = simhash.links(stash(rows.select("fp").distinct(), "distinct")).unionByName(rows.select(F.col("fp").alias("a"), F.col("own").alias("b"))).unionByName(shingles.links(found))
+    members = stash(components(near), "components").select(F.col("node").alias("own"), "root")
+    firsts = rows.join(members, "own", "left").groupBy(F.coalesce("root", "own").alias("root")).agg(F.min("first").alias("first")).select("first.*")
     kept = docs.withColumn("hash", F.xxhash64("text")).join(firsts, ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"]).select(docs.columns)
     return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
 
