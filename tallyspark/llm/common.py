@@ -67,6 +67,20 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(start, rows)
 
 
+def pieces_of(batch: pa.RecordBatch, most: int, name: str = "text", rows: int = 8_192) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most so many bytes in a column, and so many rows; a single row may have more bytes."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(name)), 0), np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + most, "right"))))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def as_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The column's UTF-8 bytes; null counts as empty."""
     col = batch.column(name)
