@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, fill_middle, lm, multi_index, packing, quality_rules, quotes, rule_ensemble, simhash, token_counts, toxicity
+from . import bpe, divergence, fill_middle, lm, multi_index, packing, part_enum, quality_rules, quotes, rule_ensemble, simhash, token_counts, toxicity
 from .common import crc_mod, table
 
 
@@ -64,11 +64,15 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_part_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_enum.similar_texts(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multi_index, op2_quotation_links, op3_rule_ensemble, op4_token_counts, op5_quality_rules, op6_packing, op7_simhash, op8_toxicity, op9_sentencepiece, op10_backoff_lm, op11_fill_middle, op13_source_divergence)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multi_index, op2_quotation_links, op3_rule_ensemble, op4_token_counts, op5_quality_rules, op6_packing, op7_simhash, op8_toxicity, op9_sentencepiece, op10_backoff_lm, op11_fill_middle, op12_part_enum, op13_source_divergence)}
 #: Cuts by places of characters instead of joined slices, and the restored text by places in the output.
 FILL_MIDDLE_SQL = r"""
 WITH read AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h FROM documents),
