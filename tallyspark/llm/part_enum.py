@@ -41,32 +41,27 @@ from .components import components
 
 #: Words of a shingle; similarity in hundredths.
 WIDTH, ALIKE = 4, 85
-#: Bands grow by this ratio; bits of a signature; bytes of texts that are worked on together; words whose hashes are kept.
-RATIO, SIGNATURE, AT_ONCE, WORDS = 1.2, 48, 1 << 24, 1 << 19
+#: Bands grow by this ratio; bits of a signature; bytes of texts that are worked on together.
+RATIO, SIGNATURE, AT_ONCE = 1.2, 48, 1 << 24
 #: Longs of a set's parities.
 PARITY = 4
 #: Bits of the filter that spares sets that meet no other the way to the comparison.
 FILTER = 1 << 24
 
 
-class _Words(dict):
-    """Hashes of words; those met before are looked up."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) >= WORDS:
-            self.clear()
-        self[word] = found = xxh64_intdigest(word)
-        return found
-
-
-def shingles(text: bytes, seen: _Words) -> np.ndarray:
+def shingles(text: bytes) -> np.ndarray:
     """Ascending distinct hashes of a text's shingles."""
+    from xxhash import xxh64_intdigest
+
     words = text.lower().split()  # of bytes: A-Z only, ASCII white space only
-    flat = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(words) - WIDTH + 1) if words else 0
-    return np.unique(reduce(mixed, [flat[k : k + n] for k in range(min(WIDTH, len(words)))])) if n else flat
+    flat = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(words) - WIDTH + 1)
+    if not words:
+        return flat
+    keys = np.sort(reduce(mixed, [flat[k : k + n] for k in range(min(WIDTH, len(words)))]))
+    new = np.ones(n, bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return keys[new]
 
 
 @lru_cache(None)
@@ -141,10 +136,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
     """Pieces of the batches with the sets of their texts and hashes of these."""
     from xxhash import xxh64_intdigest
 
-    seen = _Words()
     for batch in batches:
         for piece in pieces_of(batch, AT_ONCE):
-            keys = [shingles(x, seen) for x in as_bytes(piece)]
+            keys = [shingles(x) for x in as_bytes(piece)]
             yield piece, keys, np.array([xxh64_intdigest(k.tobytes()) for k in keys], np.uint64).view(np.int64)
 
 
