@@ -11,29 +11,74 @@ from ..functions import text
 from ..sources.store import settled
 
 
-def _head(c: Column, least: float) -> Column:
-    """The characters, numbered by occurrence, of which two texts of an indel similarity of least share one."""
+#: Tasks that a segment's labels are dealt to.
+SALTS = 4
+
+
+def _marks(c: Column) -> list[Column]:
+    """Two longs of bits, one for each character and occurrence of it; texts of an indel distance differ in no more bits."""
     chars = F.array_sort(F.split(c, ""))
-    numbered = F.transform(chars, lambda x, i: F.concat(F.lpad((9998 - (i - F.array_position(chars, x))).cast("string"), 4, "0"), x))
-    n = F.size(chars)
-    return F.slice(F.array_sort(numbered), 1, (n - F.ceil(n * (least / (200.0 - least)) - 1e-9) + 1).cast("int"))
+    numbered = F.transform(chars, lambda x, i: F.pmod(F.xxhash64(x, i - F.array_position(chars, x).cast("int")), F.lit(128)).cast("int"))
+    bits = lambda half: F.aggregate(numbered, F.lit(0).cast("long"), lambda have, k: F.when(F.floor(k / 64) == half, have.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k % 64))).otherwise(have))
+    return [bits(0), bits(1)]
 
 
-def fuzzy(labels: DataFrame, aliases: DataFrame, least: float = 80.0) -> DataFrame:
-    """The best alias of each label at or above least, by token-sort ratio.
+def _reach(n: Column, m: Column, least: float) -> Column:
+    """The largest indel distance of texts of n and m characters that score least: as their lengths' difference, even or odd."""
+    most = F.floor((n + m) * ((100.0 - least) / 100.0) + 1e-9).cast("int")
+    return most - F.pmod(most - n + m, F.lit(2))
+
 
-    labels: label; aliases: alias, canonical_name; least: over 0. No match is lost: a text of n characters has at least
-    n * least / (200 - least) of them in common with one that scores least, so one of the others and one more, in an order
-    that both sides share, is in both. They are numbered by occurrence, ordered with the rarer first, and joined by an
-    equi-join; lengths must allow the score too. Texts without characters match nothing.
+def fuzzy_pairs(labels: DataFrame, aliases: DataFrame, least: float = 80.0) -> DataFrame:
+    """Pairs _a, _b of texts (of tables with these columns, distinct) that may have an indel similarity of least, none lost; each once.
+
+    Texts of n and m characters that score least are t insertions and deletions apart at most. The alias is cut into t + 1
+    segments at fixed places, so one of them is in the label unchanged; and for some segment that is, the i-th say, at most
+    i - 1 of them lie before it and t + 1 - i behind it, which bounds how far it can have moved. So an equi-join on lengths,
+    number and characters of a segment (as one hash) meets each pair. Pairs that differ in too many characters, whatever
+    their order, don't come out of it.
     """
-    a = labels.select("label").distinct().withColumn("_a", text.sorted_tokens(F.col("label")))
-    b = aliases.select("alias", "canonical_name").distinct().withColumn("_b", text.sorted_tokens(F.col("alias")))
-    a, b = (df.where(F.length(c) > 0).withColumn("_key", F.explode(_head(F.col(c), least))) for df, c in ((a, "_a"), (b, "_b")))
-    pairs = a.join(b, "_key").where(text.within_reach(F.col("_a"), F.col("_b"), least)).select("label", "alias", "canonical_name", "_a", "_b").distinct()
-    scored = pairs.withColumn("score", text.indel_ratio("_a", "_b")).where(F.col("score") >= least)
-    best = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "alias", "canonical_name"))
-    return scored.withColumn("_rank", best).where("_rank = 1").select("label", "alias", "canonical_name", "score")
+    a, b = (df.select(c).distinct().withColumn("_n", F.length(c)).where("_n > 0") for df, c in ((labels, "_a"), (aliases, "_b")))
+    far = least / (200.0 - least)
+    reach = lambda n: F.sequence(F.ceil(n * far - 1e-9).cast("int"), F.floor(n / far + 1e-9).cast("int"))
+    lengths = lambda df: df.select(F.col("_n").alias("n")).distinct()
+    both = lengths(a).select("n", F.explode(reach(F.col("n"))).alias("m")).join(lengths(b).withColumnRenamed("n", "m"), "m").withColumn("t", _reach(F.col("n"), F.col("m"), least)).where("t >= 0")
+    base = F.floor(F.col("m") / (F.col("t") + 1)).cast("int")
+    short = F.col("t") + 1 - F.col("m") % (F.col("t") + 1)  # segments that are a character shorter
+    cut = lambda i: F.struct(i.alias("i"), ((i - 1) * base + F.greatest(F.lit(0), i - 1 - short)).alias("at"), (base + (i > short).cast("int")).alias("size"))
+    cuts = both.withColumn("cuts", F.transform(F.sequence(F.lit(1), F.col("t") + 1), cut))
+    # one row for each length of a text; what it may meet comes as an array, so that texts aren't multiplied before they are cut
+    met = lambda of: cuts.groupBy(F.col(of).alias("_n")).agg(F.collect_list(F.struct("n", "m", "t", "cuts")).alias("met"))
+    apart, t = F.col("x.n") - F.col("x.m"), F.col("x.t")
+    least_shift = lambda c: F.greatest(1 - c["i"], apart - (t + 1 - c["i"]), -c["at"])
+    most_shift = lambda c: F.least(c["i"] - 1, apart + t + 1 - c["i"], F.col("x.n") - c["at"] - c["size"])
+    key = lambda text, c, at: F.xxhash64(F.col("x.n"), F.col("x.m"), c["i"], F.substring(text, at + 1, c["size"]))
+    some = F.filter("x.cuts", lambda c: least_shift(c) <= most_shift(c))
+    sought = F.array_distinct(F.flatten(F.transform(some, lambda c: F.transform(F.sequence(least_shift(c), most_shift(c)), lambda s: key(F.col("_a"), c, c["at"] + s)))))
+    given = F.transform("x.cuts", lambda c: key(F.col("_b"), c, c["at"]))
+    marked = lambda df, c, of: df.withColumns(dict(zip(("p", "q"), _marks(F.col(c))))).join(met(of), "_n").select(c, "p", "q", F.explode("met").alias("x"))
+    left = marked(a, "_a", "n").select("_a", "p", "q", "x.t", F.explode(sought).alias("_key"))
+    right = marked(b, "_b", "m").select("_b", F.col("p").alias("r"), F.col("q").alias("s"), F.explode(given).alias("_key"))
+    near = F.bit_count(F.col("p").bitwiseXOR(F.col("r"))) + F.bit_count(F.col("q").bitwiseXOR(F.col("s"))) <= F.col("t")
+    # the rows are few and short, what they meet is much: spread by number, and a frequent segment over some tasks
+    tasks = 4 * labels.sparkSession.sparkContext.defaultParallelism
+    left = left.withColumn("_salt", F.pmod(F.xxhash64("_a"), F.lit(SALTS))).repartition(tasks, "_key", "_salt")
+    right = right.withColumn("_salt", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)]))).repartition(tasks, "_key", "_salt")
+    return left.alias("l").join(right.alias("r_"), (F.col("l._key") == F.col("r_._key")) & (F.col("l._salt") == F.col("r_._salt")) & near).select("_a", "_b").distinct()
+
+
+def fuzzy_scores(labels: DataFrame, aliases: DataFrame, least: float = 80.0) -> DataFrame:
+    """label, alias, score of all pairs at or above least by token-sort ratio; labels: label; aliases: alias. Texts without characters match nothing."""
+    a, b = (df.select(c).distinct().withColumn(to, text.sorted_tokens(F.col(c))) for df, c, to in ((labels, "label", "_a"), (aliases, "alias", "_b")))
+    near = fuzzy_pairs(a, b, least).withColumn("score", text.indel_ratio("_a", "_b")).where(F.col("score") >= least)
+    return near.join(a, "_a").join(b, "_b").select("label", "alias", "score")
+
+
+def fuzzy(labels: DataFrame, aliases: DataFrame, least: float = 80.0) -> DataFrame:
+    """The best alias of each label at or above least, by token-sort ratio; ties to the smaller alias, then canonical. labels: label; aliases: alias, canonical_name."""
+    best = fuzzy_scores(labels, aliases, least).groupBy("label").agg(F.min_by(F.struct("alias", "score"), F.struct(-F.col("score"), F.col("alias"))).alias("best"))
+    names = aliases.groupBy("alias").agg(F.min("canonical_name").alias("canonical_name"))
+    return best.select("label", "best.*").join(names, "alias").select("label", "alias", "canonical_name", "score")
 
 
 def suggestions(scored: Sequence[tuple[DataFrame, float]], least: float = 0.6, show: float = 0.3, top: int = 5) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import periods, text
 from ..operators import taxonomy as op
 from ..operators.facts import resolve_conflicts
 from ..sources import roles
+from ..sources.store import settled
 from .base import query
 
 
@@ -127,7 +128,10 @@ def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns, taxonomy and learned aliases as ranked sources (no SQL form of their scores)."""
     part = roles.table(spark, sf_dir, "part")
     labels = part.select(F.concat("p_name", F.lit("s")).alias("label")).distinct()
-    scored = lambda c: op.fuzzy(labels, part.select(F.col("p_name").alias("alias"), F.col(c).alias("canonical_name")), 60.0).select("label", "canonical_name", (F.col("score") / 100).alias("score"))
+    scores = settled(op.fuzzy_scores(labels, part.select(F.col("p_name").alias("alias")), 60.0))  # once for the three sources
+    best = lambda c: F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "alias", c))
+    named = lambda c: scores.join(part.select(F.col("p_name").alias("alias"), F.col(c).alias("canonical_name")).distinct(), "alias")
+    scored = lambda c: named(c).withColumn("n", best("canonical_name")).where("n = 1").select("label", "canonical_name", (F.col("score") / 100).alias("score"))
     return op.suggestions([(scored("p_brand"), 0.95), (scored("p_type"), 0.9), (scored("p_name"), 0.85)])
 
 
