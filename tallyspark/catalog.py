@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import aggregates, checks, corrections, facts, formulas, gaps, governance, labels, layouts, lifecycle, lint, periods, records, rulebook, rules, series, sheets, texts, windows  # noqa: F401
+from .plans import aggregates, checks, corrections, facts, formulas, gaps, governance, labels, layouts, lifecycle, lint, periods, records, rulebook, rules, sections, series, sheets, texts, windows  # noqa: F401
 from .plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
