@@ -7,8 +7,9 @@ min_entries vectors (so that there are k of them) and at least the given share o
 
 Entries lie in blocks of about block_rows, made from the cells' counts: small cells share a block, a large cell (a
 third of all rows may be one) has many, by hash of the id. A query goes once to each block in which it visits cells.
-Queries come in groups of group_rows, so that no task holds more than a block and a group. The result of a block is
-each query's best entries; the best of these are the answer.
+Queries come in teams of about group_rows, made in the same way, so that a team's queries are near each other and no
+task holds more than a block and a team; a block goes only to the teams that visit it. The result of a block is each
+query's best entries; the best of these are the answer.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do
 rows without an id. Ties go to the smaller id. Rows that share an id are one candidate, at its nearest, and not a
@@ -103,13 +104,23 @@ class Index:
         n = len(self.codebooks[0]) * len(self.codebooks[1])
         self.rows = np.zeros(n, np.int64)
         self.rows[list(counts)] = list(counts.values())
-        self.split = np.maximum(1, -(-self.rows // block_rows))
-        filled = np.cumsum(np.where(self.split > 1, 0, self.rows)) // block_rows
+        self.dealt = Dealt(self.rows, block_rows)
+
+    def blocks(self, cells: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return self.dealt.parts(cells, ids)
+
+
+class Dealt:
+    """Rows of cells dealt to parts of some number of rows: cells that follow each other go together, one of more rows is split by a hash of the id."""
+
+    def __init__(self, rows: np.ndarray, most: int) -> None:
+        self.split = np.maximum(1, -(-rows // most))
+        filled = np.cumsum(np.where(self.split > 1, 0, rows)) // most
         shared = int(filled[-1]) + 1
         big = self.split > 1
         self.first = np.where(big, shared + np.cumsum(np.where(big, self.split, 0)) - self.split, filled)
 
-    def blocks(self, cells: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    def parts(self, cells: np.ndarray, ids: np.ndarray) -> np.ndarray:
         mixed = ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
         return self.first[cells] + mixed % self.split[cells]
 
@@ -141,7 +152,11 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_i
     counts = {r["cell"]: r["n"] for r in entries.groupBy("cell").agg(F.count("*").alias("n")).toLocalIterator()}  # at most centroids squared
     index.place(counts, block_rows)
     asked = entries.where(queries)
-    groups = max(1, math.ceil(asked.count() / group_rows))
+    # queries near each other are a team, so that it visits few blocks where the share is small
+    at_cell = np.zeros(len(index.rows), np.int64)
+    for r in asked.groupBy("cell").agg(F.count("*").alias("n")).toLocalIterator():
+        at_cell[r["cell"]] = r["n"]
+    teams = Dealt(at_cell, group_rows)
     need = max(min_entries, math.ceil(share * int(index.rows.sum())))
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,23 +164,37 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_i
             cells, ids = (batch.column(c).to_numpy() for c in ("cell", "vec_id"))
             yield arrow({"block": (index.blocks(cells, ids), pa.int64()), "vec_id": (ids, pa.int64()), "x": (batch.column("x"), None), "cell": (cells, pa.int32())})
 
+    def visited(batch: pa.RecordBatch) -> Iterator[tuple[int, dict[int, list[int]]]]:
+        """Of each query its place and the cells it visits, by block."""
+        for i, (first, second) in enumerate(zip(*index.halves(matrix(batch, "x")))):
+            held, by = 0, {}
+            for cell in cells_by_distance(first, second):
+                if n := int(index.rows[cell]):
+                    for b in range(index.dealt.first[cell], index.dealt.first[cell] + index.dealt.split[cell]):
+                        by.setdefault(b, []).append(cell)
+                    held += n
+                    if held >= need:
+                        break
+            yield i, by
+
+    def team(batch: pa.RecordBatch) -> np.ndarray:
+        return teams.parts(*(batch.column(c).to_numpy() for c in ("cell", "vec_id")))
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             blocks, at, cells = [], [], []
-            for i, (first, second) in enumerate(zip(*index.halves(matrix(batch, "x")))):
-                held, by = 0, {}
-                for cell in cells_by_distance(first, second):
-                    if n := int(index.rows[cell]):
-                        for b in range(index.first[cell], index.first[cell] + index.split[cell]):
-                            by.setdefault(b, []).append(cell)
-                        held += n
-                        if held >= need:
-                            break
+            for i, by in visited(batch):
                 blocks += by
                 at += [i] * len(by)
                 cells += by.values()
             take = batch.take(pa.array(at, pa.int64()))
-            yield arrow({"block": (blocks, pa.int64()), "team": (np.array([hash(v) % groups for v in take.column("vec_id").to_pylist()], np.int64), pa.int64()), "query_id": (take.column("vec_id"), None), "q": (take.column("x"), None), "cells": (cells, pa.list_(pa.int32()))})
+            yield arrow({"block": (blocks, pa.int64()), "team": (team(take), pa.int64()), "query_id": (take.column("vec_id"), None), "q": (take.column("x"), None), "cells": (cells, pa.list_(pa.int32()))})
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            of = team(batch).tolist()
+            pairs = {(b, of[i]) for i, by in visited(batch) for b in by}
+            yield arrow({"block": ([b for b, _ in pairs], pa.int64()), "team": ([t for _, t in pairs], pa.int64())})
 
     def rerank(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, float]] = []
@@ -191,7 +220,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_i
                         out.append((own, v, float(exact[i])))
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    spread = entries.mapInArrow(block, "block long, vec_id long, x array<double>, cell int").withColumn("team", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    spread = entries.mapInArrow(block, "block long, vec_id long, x array<double>, cell int")
+    # a block goes to the teams that visit it
+    spread = spread.join(asked.mapInArrow(meet, "block long, team long").distinct(), "block")
     sent = asked.mapInArrow(visit, "block long, team long, query_id long, q array<double>, cells array<int>")
     near = spread.groupBy("block", "team").cogroup(sent.groupBy("block", "team")).applyInPandas(rerank, OUT)
     near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

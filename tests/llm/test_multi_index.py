@@ -45,6 +45,31 @@ def test_odd_vectors_take_no_part(spark):
     assert multi_index.search(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_rows_are_dealt_evenly_whatever_their_ids():
+    """Ids that are multiples of 50, two parts; one cell with more rows than a part."""
+    ids = np.arange(0, 50 * 9000, 50)
+    cells = np.where(ids % 150 == 0, 3, ids // 50 % 8)
+    rows = np.bincount(cells, minlength=16)
+    dealt = multi_index.Dealt(rows, 2000)
+    sizes = np.bincount(dealt.parts(cells, ids))
+    assert len(sizes[sizes > 0]) >= 5 and sizes.sum() == 9000 and sizes.max() < 2 * 2000
+    assert multi_index.Dealt(np.zeros(4, np.int64), 10).parts(np.array([2]), np.array([7]))[0] == 0
+
+
+def test_blocks_go_to_the_teams_that_visit_them(spark):
+    """Vectors in clusters, a small share: few of all pairs of blocks and teams meet, and recall stays."""
+    rnd = np.random.default_rng(8)
+    middles = rnd.normal(size=(40, 16))
+    rows = [(i, [float(v) for v in (middles[i % 40] + 0.1 * rnd.normal(size=16))]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    want = brute(rows, every=3)
+    by = {}
+    for r in multi_index.search(df, F.col("vec_id") % 3 == 0, centroids=16, sample_rows=1500, share=0.04, min_entries=100, block_rows=200, group_rows=100).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    assert by.keys() == want.keys()
+    assert sum(len(by[q] & {i for _, i in want[q]}) for q in want) / (5 * len(want)) >= 0.9
+
+
 def test_cells_come_by_distance():
     rnd = np.random.default_rng(1)
     a, b = rnd.random(7), rnd.random(5)
