@@ -35,9 +35,11 @@ def analyse(labels: DataFrame, items: DataFrame, alias: float = ALIAS, new: floa
 
 
 def alike(labels: DataFrame, least: float = ALIKE) -> DataFrame:
-    """Pairs a, b of places (n) of a report's labels, a before b, whose vectors have a cosine of least; a report has MOST_LABELS labels, so its one block is sent to all."""
+    """Pairs a, b of places (n) of a report's labels, a before b, whose vectors have a cosine of least; a report has at most MOST_LABELS labels (checked), so it is one block that is sent to all."""
+    if labels.limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels; give greedy_clusters pairs from an index instead")
     a, b = labels.select(F.col("n").alias("a"), F.col("vector").alias("v")), labels.select(F.col("n").alias("b"), F.col("vector").alias("w"))
-    return a.join(F.broadcast(b.limit(MOST_LABELS)), (F.col("a") < F.col("b")) & (F.round(cosine(F.col("v"), F.col("w")), 6) >= least)).select("a", "b")
+    return a.join(F.broadcast(b), (F.col("a") < F.col("b")) & (F.round(cosine(F.col("v"), F.col("w")), 6) >= least)).select("a", "b")
 
 
 def greedy_clusters(nodes: DataFrame, pairs: DataFrame) -> DataFrame:

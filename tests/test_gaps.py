@@ -38,3 +38,11 @@ def test_labels_between_the_thresholds_are_ambiguous_and_zero_vectors_new(spark)
     items = spark.createDataFrame([("revenue", [2.0, 0.0])], "item string, vector array<double>")
     got = {r.label: (r.best_score, r.classification, r.suggested) for r in gaps.analyse(labels, items).collect()}
     assert got == {"same": (1.0, "alias_candidate", "revenue"), "near": (0.707107, "ambiguous", None), "far": (0.0, "new_item_candidate", None), "zero": (0.0, "new_item_candidate", None)}
+
+
+def test_reports_of_too_many_labels_are_refused(spark):
+    labels = spark.range(gaps.MOST_LABELS + 1).selectExpr("id as n", "array(1D, cast(id as double)) as vector")
+    with pytest.raises(ValueError, match="more than"):
+        gaps.alike(labels)
+    pairs = gaps.alike(labels.where("n < 3"), 0.9)
+    assert [tuple(r) for r in pairs.collect()] == [(1, 2)]
