@@ -21,7 +21,7 @@ ITEMS = {
 NOW, BEFORE = "l_returnflag <> 'R'", "l_returnflag <> 'N' AND l_suppkey % 7 <> 3"
 TRIAGE = {"expected": "1 + (file + length(sheet)) % 4", "first": "1 + (file * 3 + length(sheet)) % 4", "last": "CASE WHEN length(sheet) % 3 > 0 THEN 1 + (file + length(sheet) * 5) % 4 END"}
 #: What a file's run measured beside accuracies; null: not at all.
-RUN = {"quality_score": "CASE WHEN file % 4 <> {0} THEN (file * {1} % 100) / 100.0 END", "completeness_score": "(file * {1} % 77) / 77.0", "duration": "(file * {1} % 5) * 1.5", "tokens": "CASE WHEN file % 6 <> {0} THEN file * {1} % 1000 END"}
+RUN = {"quality_score": "CASE WHEN file % 4 <> {0} THEN (file * {1} % 100) / 100e0 END", "completeness_score": "(file * {1} % 77) / 77e0", "duration": "(file * {1} % 5) * 15e-1", "tokens": "CASE WHEN file % 6 <> {0} THEN file * {1} % 1000 END"}
 
 
 def _columns(of: dict[str, str]) -> str:
