@@ -189,13 +189,16 @@ def with_statistics(docs: DataFrame, text: str = "text", into: str = "_stats") -
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample_rows: int = 12_000, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> RuleModel:
-    """Fit on at most sample_rows labelled rows (those of least hash of the id) for which use, a condition on id, holds."""
+    """Fit on at most sample_rows labelled rows (those of least hash of the id) for which use, a condition on id, holds.
+
+    An id may have several texts: of those, too, only sample_rows rows reach the driver, by hash of the id and then by their statistics."""
     rows = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_y")).dropna()
     if use is not None:
         rows = rows.where(use)
     chosen = sample_by_hash(rows.groupBy("_id").agg(F.max("_y").alias("_y")), "_id", sample_rows)
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
-    found = with_statistics(texts, "_text").select("_id", "_y", "_stats.*").toPandas().sort_values(["_id", *FEATURES])
+    rows = with_statistics(texts, "_text").select("_id", "_y", "_stats.*").orderBy(F.xxhash64("_id"), "_id", *FEATURES).limit(sample_rows)
+    found = rows.toPandas().sort_values(["_id", *FEATURES])
     return fit(found[list(FEATURES)].to_numpy(float), found["_y"].to_numpy(float))
 
 

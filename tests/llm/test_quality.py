@@ -194,3 +194,13 @@ def test_statistics_keep_clashing_columns(spark):
     model = rule_ensemble.fit_quality(docs, labels)
     assert rule_ensemble.score_quality(docs, model, into="s").select("_stats").distinct().first()[0] == "mine"
     assert rule_ensemble.filter_good(docs, model, least=0.0).columns == docs.columns
+
+
+def test_texts_of_one_id_are_bounded_by_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(rule_ensemble, "fit", lambda x, y: seen.append(len(y)) or rule_ensemble.RuleModel())
+    docs = spark.range(200).selectExpr("id % 2 * 100 as doc_id", "repeat('word ', cast(id as int)) as text")
+    labels = spark.createDataFrame([(0, 1), (100, 0), (100, 1)], "doc_id long, quality int")
+    rule_ensemble.fit_quality(docs, labels, sample_rows=30)
+    rule_ensemble.fit_quality(docs, labels, sample_rows=1000)
+    assert seen == [30, 200]
