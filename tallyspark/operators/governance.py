@@ -127,6 +127,34 @@ def job_states(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.max_by(shown, F.struct("at", "n")).alias("status"), F.max("progress").alias("progress"), F.max("at").alias("updated_at"), F.count("*").alias("events"))
 
 
+def job_transitions(events: DataFrame) -> DataFrame:
+    """job_id, at, n, before, status, accepted of each event: accepted are updates of the state a job is in, and what FOLLOWS lists for it; the rest is refused and changes nothing.
+
+    A job begins as pending; a completion whose gate failed asks for review; a status of null is refused. Equal events of one job
+    and time come in the order of n, then of status; the second of two equal ones is an update. States only move forward, so as
+    many windows as there are states that others follow find all steps; they share one shuffle by job, whose rows spill.
+    events: as for job_states.
+    """
+    job, states = Window.partitionBy("job_id"), [*FOLLOWS, *{s for after in FOLLOWS.values() for s in after} - set(FOLLOWS)]
+    shown = F.when((F.col("status") == "completed") & ~F.coalesce("gate_passed", F.lit(True)), "needs_review").otherwise(F.col("status"))
+    follows = lambda state, status: F.coalesce(F.array_contains(F.element_at(F.create_map(*[x for s in states for x in (F.lit(s), F.array(*map(F.lit, FOLLOWS.get(s, ["-"]))))]), state), status), F.lit(False))
+    rows = events.select("job_id", "at", "n", shown.alias("status")).withColumn("_i", F.row_number().over(job.orderBy("at", "n", "status"))).withColumns({"_at": F.struct("_i", "status"), "_state": F.lit("pending"), "before": F.lit("pending")})
+    rows = rows.withColumn("_last", F.lit(None).cast(rows.schema["_at"].dataType))
+    for _ in FOLLOWS:
+        later = F.col("_last").isNull() | (F.col("_at") > F.col("_last"))
+        step = F.min(F.when(later & follows(F.col("_state"), F.col("status")), F.col("_at"))).over(job)
+        rows = rows.withColumn("_step", step).withColumns({"_state": F.coalesce("_step.status", "_state"), "_last": F.coalesce("_step", "_last"), "before": F.when(F.col("_step") < F.col("_at"), F.col("_step.status")).otherwise(F.col("before"))})
+    accepted = F.coalesce(F.col("status") == F.col("before"), F.lit(False)) | follows(F.col("before"), F.col("status"))
+    return rows.select("job_id", "at", "n", "before", "status", accepted.alias("accepted"))
+
+
+def job_outcomes(transitions: DataFrame) -> DataFrame:
+    """job_id, status (pending if no event was accepted), updated_at (null then), accepted, refused."""
+    known = F.when(F.col("accepted"), F.struct("at", "n", "status"))
+    found = transitions.groupBy("job_id").agg(F.max(known).alias("_last"), F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("refused"))
+    return found.select("job_id", F.coalesce("_last.status", F.lit("pending")).alias("status"), F.col("_last.at").alias("updated_at"), "accepted", "refused")
+
+
 def backfill_periods(facts: DataFrame, known: DataFrame) -> DataFrame:
     """Normalized periods where they are null, looked up by job and raw period. known: job_id, period, normalized; of several the least."""
     one = known.groupBy("job_id", "period").agg(F.min("normalized").alias("_normalized"))

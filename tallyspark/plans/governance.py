@@ -171,9 +171,40 @@ def rate_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH e AS (SELECT user_id AS job_id, ts AS w, event_id AS n, ['pending', 'processing', 'completed', 'failed'][event_id % 4 + 1] AS status, CAST(event_id % 101 AS INT) AS progress, CASE WHEN event_id % 3 <> 0 THEN event_id % 2 = 0 END AS gate_passed FROM events) SELECT job_id, arg_max(CASE WHEN status = 'completed' AND NOT COALESCE(gate_passed, TRUE) THEN 'needs_review' ELSE status END, (w, n)) AS status, MAX(progress) AS progress, MAX(w) AS updated_at, COUNT(*) AS events FROM e GROUP BY 1")
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M15"""
+    return op.job_states(_job_events(spark, sf_dir))
+
+
+def _job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     status = F.element_at(F.array(*map(F.lit, ("pending", "processing", "completed", "failed"))), (k % 4 + 1).cast("int"))
-    return op.job_states(roles.table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("ts").alias("at"), k.alias("n"), status.alias("status"), (k % 101).cast("int").alias("progress"), F.when(k % 3 != 0, k % 2 == 0).alias("gate_passed")))
+    return roles.table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("ts").alias("at"), k.alias("n"), status.alias("status"), (k % 101).cast("int").alias("progress"), F.when(k % 3 != 0, k % 2 == 0).alias("gate_passed"))
+
+
+#: Each user's day as a job, walked event by event.
+WALK = """WITH RECURSIVE e AS (SELECT user_id * 1000 + dayofyear(ts) AS job_id, ts AS at_, event_id AS n, ['pending', 'processing', CASE WHEN event_id % 3 <> 0 AND event_id % 2 = 1 THEN 'needs_review' ELSE 'completed' END, 'failed'][event_id % 7 % 4 + 1] AS status,
+ ROW_NUMBER() OVER (PARTITION BY user_id, dayofyear(ts) ORDER BY ts, event_id) AS i FROM events),
+walk(job_id, i, at_, n, before, status, accepted, state) AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT), CAST(NULL AS TIMESTAMP), CAST(0 AS BIGINT), '', '', FALSE, 'pending' FROM e UNION ALL
+ SELECT e.job_id, e.i, e.at_, e.n, state, e.status, e.status = state OR COALESCE(list_contains(f, e.status), FALSE), CASE WHEN COALESCE(list_contains(f, e.status), FALSE) THEN e.status ELSE state END
+ FROM (SELECT *, CASE state WHEN 'pending' THEN ['processing', 'failed'] WHEN 'processing' THEN ['completed', 'failed', 'needs_review'] WHEN 'needs_review' THEN ['completed', 'failed'] END AS f FROM walk) w JOIN e ON e.job_id = w.job_id AND e.i = w.i + 1)"""
+
+
+def _transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    status = F.element_at(F.array(*map(F.lit, ("pending", "processing", "completed", "failed"))), (k % 7 % 4 + 1).cast("int"))
+    events = roles.table(spark, sf_dir, "events").select((F.col("user_id") * 1000 + F.dayofyear("ts")).alias("job_id"), F.col("ts").alias("at"), k.alias("n"), status.alias("status"), F.when(k % 3 != 0, k % 2 == 0).alias("gate_passed"))
+    return op.job_transitions(events)
+
+
+@query(WALK + " SELECT job_id, at_ AS at, n, before, status, accepted FROM walk WHERE i > 0")
+def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with the state it met and whether it could follow."""
+    return _transitions(spark, sf_dir)
+
+
+@query(WALK + " SELECT job_id, COALESCE(arg_max(status, (at_, n)) FILTER (accepted), 'pending') AS status, MAX(at_) FILTER (accepted) AS updated_at, COUNT(*) FILTER (accepted) AS accepted, COUNT(*) FILTER (NOT accepted) AS refused FROM walk WHERE i > 0 GROUP BY 1")
+def job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where jobs end, and how many events were refused."""
+    return op.job_outcomes(_transitions(spark, sf_dir))
 
 
 @query("WITH f AS (SELECT o_orderkey AS fact_id, o_custkey AS job_id, 'FY' || right(CAST(year(o_orderdate) AS VARCHAR), 2) AS period, CASE WHEN o_orderkey % 3 = 0 THEN 'FY' || year(o_orderdate) END AS normalized FROM orders), k AS (SELECT job_id, period, MIN(normalized) AS n FROM f WHERE normalized IS NOT NULL GROUP BY 1, 2) SELECT fact_id, f.job_id, f.period, COALESCE(normalized, n) AS normalized FROM f LEFT JOIN k ON k.job_id = f.job_id AND k.period = f.period")

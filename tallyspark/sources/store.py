@@ -1,19 +1,24 @@
-"""Where loops cut their lineage."""
+"""Where loops cut their lineage, and stages keep their outputs."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder of spark.checkpoint.dir; only a session on this machine may have none, and gets one of its own."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir that is this session's; only a session on this machine may have none, and gets one of its own."""
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyspark-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint()
