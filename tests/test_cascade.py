@@ -132,9 +132,10 @@ def run(spark, case, least, asked=None):
     return {r.label: (r.label, r.canonical_name, round(r.confidence, 6), r.method, r.resolved_by, r.redirected_from, r.category) for r in got}
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_cascade_equals_a_walk(spark, seed):
-    case, least, asked = made(seed), [80.0, None, 60.0][seed % 3], {}
+#: Seeds whose cases have every rule between them.
+@pytest.mark.parametrize("seed, least", [(368, 80.0), (116, None), (0, 60.0), (1, 80.0)])
+def test_cascade_equals_a_walk(spark, seed, least):
+    case, asked = made(seed), {}
     got, want = run(spark, case, least, asked), walk(*case, least)
     assert got == want
     mappers = {x for x, r in want.items() if r[3] in ("mapper", "fuzzy_alias")}
