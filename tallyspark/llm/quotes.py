@@ -11,7 +11,8 @@ never form a cycle, and the join gets one row for each hash: common passages are
 original of its passage of the lowest level, then the longest part, then the latest original. Where follow asks for it, a
 message without such an original answers the one before it in its conversation.
 
-Ordering. Roots and depths come from pointer doubling over parents. Rows are ordered by root, depth, and message, which
+Ordering. Roots and depths come from pointer doubling over parents; where messages follow, over the heads of runs only,
+which are turns that quote: those behind a head are counted. Rows are ordered by root, depth, and message, which
 puts replies behind what they answer; a conversation of any size spreads over the sort's tasks.
 
 Null and empty texts have no parts. Messages without conv_id or turn are roots of their own and nobody's original.
@@ -107,10 +108,20 @@ def link_quotes(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     original = F.when(F.col("here") < F.col("turn"), F.struct("conv_id", F.col("here").alias("turn"))).when(F.col("anywhere") < me, F.col("anywhere"))
     best = F.max_by("original", F.struct(-F.col("level"), "words", "original"))
     parents = stash(found.withColumn("original", original).where("original is not null").groupBy("conv_id", "turn").agg(best.alias("up")), "parents")
+    link = lambda df, root, depth: df.select(F.struct("conv_id", "turn").alias("node"), root.alias("root"), depth.alias("depth"))
     if follow:
-        before = _before(parsed).join(parents.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti")
-        parents = stash(parents.unionByName(before.select("conv_id", "turn", F.struct("conv_id", F.col("before").alias("turn")).alias("up"))), "replies")
-    roots = _roots(parents.select(F.struct("conv_id", "turn").alias("node"), F.col("up").alias("root"), F.lit(1).alias("depth")))
+        turns = stash(_runs(parsed, parents), "turns")
+        parents = turns.where("up is not null or before is not null").select("conv_id", "turn", F.coalesce("up", F.struct("conv_id", F.col("before").alias("turn"))).alias("up"))
+        heads = turns.where("up is not null").select("conv_id", "turn", "up.*").toDF("conv_id", "turn", "at_conv", "at_turn")
+        at = turns.select(F.col("conv_id").alias("at_conv"), F.col("turn").alias("at_turn"), "head", "offset")
+        linked = _roots(link(heads.join(at, ["at_conv", "at_turn"]), F.struct(F.col("at_conv").alias("conv_id"), F.col("head").alias("turn")), F.col("offset") + 1))
+        # a run may hold a large share of all rows: its root comes to its pieces, and from these to the turns
+        pieces = turns.select("conv_id", "piece", "head").distinct()
+        linked = linked.select(F.col("node.conv_id").alias("conv_id"), F.col("node.turn").alias("head"), "root", "depth")
+        placed = turns.join(pieces.join(linked, ["conv_id", "head"]), ["conv_id", "piece", "head"], "left")
+        roots = link(placed, F.coalesce("root", F.struct("conv_id", F.col("head").alias("turn"))), (F.col("offset") + F.coalesce("depth", F.lit(0))).cast("int"))
+    else:
+        roots = _roots(link(parents, F.col("up"), F.lit(1)))
     out = parsed.join(parents, ["conv_id", "turn"], "left").join(roots.select(F.col("node.conv_id").alias("conv_id"), F.col("node.turn").alias("turn"), "root", "depth"), ["conv_id", "turn"], "left")
     return out.select(
         "conv_id", "turn", "role", "text", "n_quoted", F.col("up.conv_id").alias("parent_conv"), F.col("up.turn").alias("parent_turn"),
@@ -118,13 +129,25 @@ def link_quotes(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     ).orderBy("root_conv", "root_turn", "depth", "conv_id", "turn")
 
 
-def _before(messages: DataFrame, piece: int = 1024) -> DataFrame:
-    """conv_id, turn and the turn before it, if there is one. Turns are ordered in pieces, as a conversation may hold a large share of all rows."""
+def _runs(messages: DataFrame, parents: DataFrame, piece: int = 1024) -> DataFrame:
+    """conv_id, turn, piece, up (from parents), the turn before it, and the head of its run, with the turns between as offset.
+
+    A run is a turn that quotes, or a conversation's first one, with the turns behind it up to the next that quotes. Turns are
+    ordered and counted in pieces, and pieces after that, as a conversation may hold a large share of all rows.
+    """
     turns = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn").distinct().withColumn("piece", F.floor(F.col("turn") / piece))
-    near = turns.withColumn("near", F.lag("turn").over(Window.partitionBy("conv_id", "piece").orderBy("turn")))
-    last = turns.groupBy("conv_id", "piece").agg(F.max("turn").alias("last"))
-    last = last.withColumn("far", F.lag("last").over(Window.partitionBy("conv_id").orderBy("piece"))).drop("last")
-    return near.join(last, ["conv_id", "piece"]).select("conv_id", "turn", F.coalesce("near", "far").alias("before")).where("before is not null")
+    turns = turns.join(parents, ["conv_id", "turn"], "left")
+    inside = Window.partitionBy("conv_id", "piece").orderBy("turn")
+    turns = turns.withColumn("i", F.row_number().over(inside)).withColumns({"near": F.lag("turn").over(inside), "own": F.max(F.when(F.col("up").isNotNull(), F.struct("i", "turn"))).over(inside)})
+    sums = turns.groupBy("conv_id", "piece").agg(F.count("*").alias("n"), F.min("turn").alias("first"), F.max("turn").alias("last"), F.max("own").alias("own"))
+    earlier = Window.partitionBy("conv_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("done", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    head = F.when(F.col("own").isNotNull(), F.struct((F.col("done") + F.col("own.i")).alias("i"), F.col("own.turn").alias("turn")))
+    far = F.coalesce(F.max(head).over(earlier), F.struct(F.lit(1).cast("long").alias("i"), F.coalesce(F.min("first").over(earlier), F.col("first")).alias("turn")))
+    sums = sums.select("conv_id", "piece", "done", F.lag("last").over(Window.partitionBy("conv_id").orderBy("piece")).alias("last"), far.alias("far"))
+    rows = turns.join(sums, ["conv_id", "piece"])
+    at = F.coalesce(F.col("done") + F.col("own.i"), F.col("far.i"))
+    return rows.select("conv_id", "turn", "piece", "up", F.coalesce("near", "last").alias("before"), F.coalesce("own.turn", "far.turn").alias("head"), (F.col("done") + F.col("i") - at).alias("offset"))
 
 
 def _roots(up: DataFrame) -> DataFrame:

@@ -75,3 +75,16 @@ def test_following_skips_nulls_and_repeats(spark):
     got = quotes.link_quotes(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string"), follow=True).collect()
     assert len(got) == len(rows)
     assert {(r.turn, r.parent_turn) for r in got if r.conv_id == 1 and r.turn is not None} == {(0, None), (7, 0), (2000, 7)}
+
+
+def test_a_long_conversation_of_few_quotes(spark):
+    """3,000 turns over three pieces: runs that begin in one piece and end in another."""
+    rnd, own = random.Random(3), lambda i: f"message at turn {i} says this"
+    quoted = {i: rnd.randrange(i) for i in rnd.sample(range(1, 3000), 12)} | {1023: 5, 1024: 1000, 2048: 2047}
+    depth, rows = {0: 0}, [(1, 0, "user", own(0))]
+    for i in range(1, 3000):
+        depth[i] = depth[quoted.get(i, i - 1)] + 1
+        rows.append((1, i, "user", (f"> {own(quoted[i])}\n" if i in quoted else "") + own(i)))
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3), follow=True).collect()
+    assert {r.turn: r.depth for r in got} == depth and {(r.root_conv, r.root_turn) for r in got} == {(1, 0)}
+    assert all(r.parent_turn == quoted.get(r.turn, r.turn - 1) for r in got if r.turn)
