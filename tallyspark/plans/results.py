@@ -23,7 +23,7 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = roles.table(spark, sf_dir, "lineitem").withColumns({"q": F.col("l_quantity").cast("int"), "yr": F.year("l_shipdate")})
     name = F.coalesce(F.concat(F.lit('"'), F.expr(NAME), F.lit('"')), F.lit("null"))
     item = F.format_string('{"canonical_name": %s, "sheet": "s%d", "original_label": "l%d", "values": {"FY%d": %s, "FY%d": %s}, "provenance": {"parsing": %s}}', name, "l_linenumber", "l_partkey", "yr", F.expr(FIRST), F.col("yr") + 1, F.expr(SECOND), F.expr(PARSED))
-    listed = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "yr", item.alias("text"))))
+    listed = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "yr", item.alias("text"))))
     held = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(listed, lambda x: x["text"]), ", ").alias("items"))
     return held.select("l_orderkey", F.when(F.col("l_orderkey") % 3 == 0, F.format_string('{"line_items": [], "sample_line_items": [%s]}', "items")).otherwise(F.format_string('{"line_items": [%s]}', "items")).alias("result"))
 
@@ -49,7 +49,7 @@ def _gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _read_back(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     results, maps = _gold(spark, sf_dir)
-    return op.gold_tables(op.gold_documents(maps, op.gold_values(results), op.gold_parsing(results)))
+    return op.gold_tables(op.gold_written(maps, results))
 
 
 @query("WITH " + ROWS + """, last AS (SELECT * FROM named QUALIFY ROW_NUMBER() OVER (PARTITION BY l_orderkey, name ORDER BY pos DESC) = 1),

@@ -72,3 +72,20 @@ def test_gold_documents_out_and_in(spark, tmp_path):
     counts = {(r.file, r.sheet): (r.min_items, r.min_coverage_pct) for r in op.gold_completeness(back[0]).collect()}
     assert counts == {("f", None): (3, 75.0), ("f", "s"): (2, 80.0), ("f", "Unknown"): (1, 80.0), ("h", None): (1, 75.0), ("h", "s"): (1, 80.0)}
     assert [df.count() for df in op.gold_tables(spark.createDataFrame([("x", "broken"), ("y", None), ("z", "{}")], "file string, document string"))] == [0, 0, 0]
+
+
+def test_gold_documents_straight_from_results_parse_each_text_once(spark):
+    listed = [item("b", p=2, q="text"), item("a", p=1) | {"provenance": {"parsing": {"is_bold": 1, "hierarchy_level": "2"}}, "sheet": 3}, item("b", r=True), item("c", p="text"), item(5, p=0), 7, None, {"canonical_name": "a", "values": 3, "provenance": {"parsing": {}}}]
+    texts = [json.dumps(x) for x in ({"line_items": listed}, {"sample_line_items": listed[2:], "line_items": listed}, {"sample_line_items": [], "line_items": listed}, {"sample_line_items": None, "line_items": 4}, [])] + ["broken", None]
+    results = spark.createDataFrame(list(enumerate(texts)), "file int, result string")
+    maps = spark.createDataFrame([(i, 1, "s", "A", "a") for i in range(len(texts) + 1)], "file int, n long, sheet string, original_label string, canonical_name string")
+    values, parsing = op.gold_values(results), op.gold_parsing(results)
+    want = {r.file: r.document for r in op.gold_documents(maps, values, parsing).collect()}
+    written = op.gold_written(maps, results)
+    assert {r.file: json.loads(r.document) for r in written.collect()} == {k: json.loads(v) for k, v in want.items()}
+    assert sorted(tuple(r)[:4] for r in values.collect()) == [(0, "5", "p", 0.0), (0, "a", "p", 1.0), (0, "b", "r", 1.0), (1, "5", "p", 0.0), (1, "b", "r", 1.0)]
+    for df in op.gold_tables(written):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1 and plan.count("StructsToJsonEvaluator(") + plan.count("to_json(") == 1
+    for df in (values, parsing):
+        assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
