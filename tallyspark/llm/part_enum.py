@@ -12,8 +12,10 @@ in at least t + 1 parts then, and a set with at most t parts that have such a th
 with more gives all its signatures, and no pair is lost.
 
 Equal sets are one. Of a signature's sets each is compared first with the one that meets others most for its size, one
-comparison a set: in a group of near copies that is what they were copied from. Then those that meet and aren't in the
-same component yet are compared, where of a signature's sets those of the most frequent component aren't compared among
+comparison a set: in a group of near copies that is what they were copied from. Then components that meet are compared by
+the likeliest pair of one's sets and members drawn from the signatures' most frequent component, one comparison for two
+components: near copies that are unlike their centre are mostly like some other member. Then those that meet and aren't in
+the same component yet are compared, where of a signature's sets those of the most frequent component aren't compared among
 themselves. Sizes and the sets' parities (bits flipped by each shingle; they differ in no more places than the sets do) rule
 pairs out before that. Similarity is exact but for 64-bit hashes of words, shingles and sets.
 
@@ -32,6 +34,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +48,7 @@ WIDTH, ALIKE = 4, 85
 RATIO, SIGNATURE, AT_ONCE = 1.2, 48, 1 << 24
 #: Longs of a set's parities.
 PARITY = 4
-#: Bits of the filter that spares sets that meet no other the way to the comparison.
+#: Bits of the filters that spare signatures of a single set the way to the others, and sets that meet no other the way to the comparison.
 FILTER = 1 << 24
 
 
@@ -163,42 +166,58 @@ def set_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, own long" + "".join(f", p{k} long" for k in range(PARITY)))
 
 
-def signature_rows(docs: DataFrame) -> DataFrame:
-    """sig and own of every signature of every set; a task gives a set once."""
+def _bits(named: DataFrame, key: str) -> Broadcast:
+    """A filter of FILTER bits, whatever the number of rows, with those of the keys set; _asked reads it."""
+    words = named.select(F.expr(f"pmod({key}, {FILTER}) div 64").cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod({key}, 64) as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # FILTER / 64 rows at most
+    bits = np.zeros(FILTER // 64, np.int64)
+    bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return named.sparkSession.sparkContext.broadcast(bits)
+
+
+def _asked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return (bits[keys % FILTER // 64] >> (keys % 64)) & 1 == 1
+
+
+def signature_rows(docs: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+    """sig and own of every signature of every set; a task gives a set once. shared: the signatures asked for (sig); most others aren't sent then."""
+    sent = _bits(shared, "sig") if shared is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for _, keys, own in _sets(batches):
             new = _new(keys, own, met)
             whose, sig = signatures([keys[i] for i in new])
+            if sent is not None:
+                asked = _asked(sent.value, sig)
+                whose, sig = whose[asked], sig[asked]
             yield arrow({"sig": (sig, pa.int64()), "own": (own[new][whose], pa.int64())})
 
     return docs.select("text").mapInArrow(run, "sig long, own long")
 
 
 def whole_sets(docs: DataFrame, owns: DataFrame) -> DataFrame:
-    """own and whole (its shingles' hashes) of the sets named in owns (own). A filter of FILTER bits, whatever the number of owns, keeps most others from being sent."""
-    words = owns.select(F.expr(f"pmod(own, {FILTER}) div 64").cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(own, 64) as int))").alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # FILTER / 64 rows at most
-    bits = np.zeros(FILTER // 64, np.int64)
-    bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    """own and whole (its shingles' hashes) of the sets named in owns (own). A filter keeps most others from being sent."""
+    sent = _bits(owns, "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for _, keys, own in _sets(batches):
-            at = own % FILTER
-            asked = (sent.value[at // 64] >> (own % 64)) & 1 == 1
+            asked = _asked(sent.value, own)
             new = [i for i in _new(keys, own, met) if asked[i]]
             yield arrow({"own": (own[new], pa.int64()), "whole": ([keys[i].tobytes() for i in new], pa.binary())})
 
     return docs.select("text").mapInArrow(run, "own long, whole binary").join(owns, "own", "left_semi").groupBy("own").agg(F.first("whole").alias("whole"))
 
 
+def _apart(a: str, b: str) -> Column:
+    """In how many places parities differ, at most as many as there are shingles that only one set has."""
+    return sum((F.bit_count(F.col(f"{a}p{k}").bitwiseXOR(F.col(f"{b}p{k}"))) for k in range(1, PARITY)), F.bit_count(F.col(f"{a}p0").bitwiseXOR(F.col(f"{b}p0"))))
+
+
 def _fits(a: str, b: str) -> Column:
     """Sizes and parities that let two sets be similar. a, b: where their n and parities are."""
-    n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    apart = sum((F.bit_count(F.col(f"{a}p{k}").bitwiseXOR(F.col(f"{b}p{k}"))) for k in range(1, PARITY)), F.bit_count(F.col(f"{a}p0").bitwiseXOR(F.col(f"{b}p0"))))
+    n, m, apart = F.col(f"{a}n"), F.col(f"{b}n"), _apart(a, b)
     return (100 * F.least(n, m) >= ALIKE * F.greatest(n, m)) & ((100 + ALIKE) * apart <= (100 - ALIKE) * (n + m))
 
 
@@ -222,9 +241,8 @@ def _verified(wholes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Links a, b between sets (own) that connect all similar ones; rows: set_rows of docs (text)."""
-    sent = signature_rows(docs)
-    shared = stash(sent.groupBy("sig").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least != most").select("sig"), "shared")
-    hits = stash(sent.join(shared, "sig", "left_semi").distinct(), "hits")
+    shared = stash(signature_rows(docs).groupBy("sig").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least != most").select("sig"), "shared")
+    hits = stash(signature_rows(docs, shared).join(shared, "sig", "left_semi").distinct(), "hits")
     flips = [f"p{k}" for k in range(PARITY)]
     sizes = rows.where("n > 0").groupBy("own").agg(*[F.first(c).alias(c) for c in ("n", *flips)])
     owns = stash(hits.groupBy("own").agg(F.count("*").alias("meets")).join(sizes, "own").select("own", "n", *flips, (F.col("meets") / F.col("n")).alias("share")), "owns")
@@ -240,12 +258,24 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     rooted = stash(hits.join(roots, "own", "left").withColumn("root", F.coalesce("root", "own")), "rooted")
     most = rooted.groupBy("sig", "root").count().groupBy("sig").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("sig", "most")
     several = stash(rooted.join(most, "sig"), "several")
+
+    # what its centre didn't link meets one member of its signature's largest component, another one for each signature; one comparison for two components
+    member = several.where("root = most").groupBy("sig").agg(F.max(F.struct(F.xxhash64("sig", "own").alias("h"), "own", "n", *flips)).alias("member"))
+    likely = F.min_by(F.struct(F.col("own").alias("a"), F.col("member.own").alias("b")), _apart("", "member.") / (F.col("n") + F.col("member.n")))
+    tried = several.where("root != most").join(member, "sig").where(_fits("", "member.")).groupBy("root", "most").agg(likely.alias("pair")).select("pair.*", "root", "most")
+    tried = stash(tried, "tried")
+    second = _verified(wholes, tried.select("a", "b").distinct())
+    joined = components(tried.join(second, ["a", "b"], "left_semi").select(F.col("root").alias("a"), F.col("most").alias("b")))
+    for c in ("root", "most"):
+        several = several.join(joined.select(F.col("node").alias(c), F.col("root").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+    several = stash(several.where("root != most").select("sig").distinct().join(several, "sig"), "several")
     a, b = several.where("root != most").alias("a"), several.alias("b")
     once = (F.col("b.root") == F.col("b.most")) | (F.col("a.own") < F.col("b.own"))
     pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.root") != F.col("b.root")) & once & _fits("a.", "b.")).select(F.col("a.own").alias("a"), F.col("b.own").alias("b"))
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = pairs.join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    return first.unionByName(_verified(wholes, rest))
+    known = stars.unionByName(tried.select("a", "b"))
+    rest = pairs.join(known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+    return first.unionByName(second).unionByName(_verified(wholes, rest))
 
 
 def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

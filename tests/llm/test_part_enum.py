@@ -108,3 +108,19 @@ def test_rows_without_ids_repeated_ids_and_no_rows(spark):
     got = sorted(map(str, part_enum.similar_texts(rows).collect()))
     assert got == sorted(f"Row(doc_id={a}, n_shingles={n}, component_id={c})" for a, n, c in [(None, 47, 7), (7, 48, 7), (7, 2, 7), (9, 2, 7), (None, 0, None), (3, 0, 3)])
     assert part_enum.similar_texts(rows.where("false")).count() == 0
+
+
+def test_copies_unlike_their_centre_are_not_compared_with_all_others(spark, monkeypatch):
+    """Copies with two or three changes each, without what they were copied from: four changes apart is alike, six are not."""
+    rnd = random.Random(8)
+    values = []
+    for i in range(150):
+        words = [f"b{k}" for k in range(200)]
+        for at in rnd.sample(range(5, 195, 5), rnd.choice([1, 2, 2, 3])):
+            words[at] = f"x{i}_{at}"
+        values.append(" ".join(words))
+    compared, verified = [], part_enum._verified
+    monkeypatch.setattr(part_enum, "_verified", lambda wholes, pairs: compared.append(pairs.count()) or verified(wholes, pairs))
+    got = by_id(part_enum.similar_texts(documents(spark, values)))
+    assert [got[i]["component_id"] for i in range(150)] == components(values)
+    assert sum(compared) <= 3 * len(values)
