@@ -12,6 +12,8 @@ from .base import query
 
 #: The vectors have no clusters, so scores that count here lie lower than those that count for labels.
 ALIAS, NEW, ALIKE = 0.25, 0.15, 0.2
+#: Line items whose parts one task joins in pairs.
+ROWS = 50_000
 COSINE = "round(list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform({0}, lambda p: p * p))) * sqrt(list_sum(list_transform({1}, lambda p: p * p)))), 6)"
 REPORT = """v AS (SELECT vec_id, label AS class, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vector FROM embeddings WHERE embedding IS NOT NULL),
 said AS (SELECT user_id, COUNT(*) AS total, COUNT(DISTINCT event_type) AS entities FROM events GROUP BY 1 HAVING COUNT(*) >= 2 AND COUNT(DISTINCT event_type) >= 2),
@@ -61,9 +63,11 @@ member AS (SELECT r.n, COALESCE(MIN(a), r.n) AS seed FROM size r CROSS JOIN last
 SELECT x.s, y.s AS seed FROM member JOIN size x USING (n) JOIN size y ON y.n = seed""")
 def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L: suppliers that share a tenth of the smaller one's parts, grouped greedily, those with most parts first."""
-    m = roles.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+    lines = roles.table(spark, sf_dir, "lineitem")
+    m = lines.select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
     size = m.groupBy("s").agg(F.count("*").alias("parts")).withColumn("n", F.row_number().over(Window.orderBy(F.desc("parts"), "s")))
-    parts = m.join(size, "s")
+    # a part's rows meet in pairs, so what looks small before the join isn't after it: tasks of bounded rows, which Spark doesn't merge
+    parts = m.join(size, "s").repartition(lines.count() // ROWS + 1, "p")
     a, b = parts.select("p", F.col("n").alias("a"), F.col("parts").alias("x")), parts.select("p", F.col("n").alias("b"), F.col("parts").alias("y"))
     near = a.join(b, "p").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"), F.min(F.least("x", "y")).alias("least")).where("both * 10 >= least").select("a", "b")
     found = op.greedy_clusters(size, near)

@@ -46,3 +46,16 @@ def test_reports_of_too_many_labels_are_refused(spark):
         gaps.alike(labels)
     pairs = gaps.alike(labels.where("n < 3"), 0.9)
     assert [tuple(r) for r in pairs.collect()] == [(1, 2)]
+
+
+def test_pairs_of_suppliers_are_joined_in_tasks_of_bounded_rows(spark, monkeypatch):
+    from tallyspark.plans import gaps as plan
+
+    from .compare import SF_DIR
+
+    seen = []
+    monkeypatch.setattr(plan.op, "greedy_clusters", lambda size, near: seen.append(near) or size.select("n", size.n.alias("seed")))
+    monkeypatch.setattr(plan, "ROWS", 1_000)
+    plan.greedy_clusters(spark, SF_DIR)
+    lines = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
+    assert "RepartitionByExpression [p" in seen[0]._jdf.queryExecution().optimizedPlan().toString() and f"], {lines // 1_000 + 1}" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
