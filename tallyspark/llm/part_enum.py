@@ -17,7 +17,9 @@ the likeliest pair of one's sets and members drawn from the signatures' most fre
 components: near copies that are unlike their centre are mostly like some other member. Then those that meet and aren't in
 the same component yet are compared, where of a signature's sets those of the most frequent component aren't compared among
 themselves. Sizes and the sets' parities (bits flipped by each shingle; they differ in no more places than the sets do) rule
-pairs out before that. Similarity is exact but for 64-bit hashes of words, shingles and sets.
+pairs out before that; the last comparison, which meets sets in pairs, asks parities of as many bits as a set has shingles or
+more, so that what comes out of its join is hardly less than 0.82 alike. Of signatures that the same sets give, one is kept.
+Similarity is exact but for 64-bit hashes of words, shingles and sets, and 128-bit ones of signatures' sets.
 
 Null, empty and blank texts have no shingles and link with nothing, not even with each other; a text of fewer words than a
 shingle is one. Rows without an id have a result, but give no component its id; rows that share an id but not the text are
@@ -48,6 +50,8 @@ WIDTH, ALIKE = 4, 85
 RATIO, SIGNATURE, AT_ONCE = 1.2, 48, 1 << 24
 #: Longs of a set's parities.
 PARITY = 4
+#: Shingles for each long of the wide parities that the last comparison asks, and the least longs of these (powers of two).
+EACH, WIDE = 64, 16
 #: Bits of the filters that spare signatures of a single set the way to the others, and sets that meet no other the way to the comparison.
 FILTER = 1 << 24
 
@@ -129,10 +133,15 @@ def signatures(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(whose), np.concatenate(out)
 
 
-def parities(key: np.ndarray) -> np.ndarray:
-    """PARITY longs, of which each shingle flips a bit."""
-    bit = (key >> np.uint64(40)) % np.uint64(64 * PARITY)
-    return np.packbits(np.bincount(bit.astype(np.int64), minlength=64 * PARITY) % 2 == 1, bitorder="little").view(np.int64)
+def parities(key: np.ndarray, longs: int = PARITY) -> np.ndarray:
+    """So many longs, of which each shingle flips a bit."""
+    bit = (key >> np.uint64(40)) % np.uint64(64 * longs)
+    return np.packbits(np.bincount(bit.astype(np.int64), minlength=64 * longs) % 2 == 1, bitorder="little").view(np.int64)
+
+
+def wide(key: np.ndarray) -> np.ndarray:
+    """Parities of as many longs as the set's size asks for; of twice as many, halves that are XORed are those of the half."""
+    return parities(key, max(WIDE, 1 << (max(1, -(-len(key) // EACH)) - 1).bit_length()))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray]]:
@@ -221,6 +230,27 @@ def _fits(a: str, b: str) -> Column:
     return (100 * F.least(n, m) >= ALIKE * F.greatest(n, m)) & ((100 + ALIKE) * apart <= (100 - ALIKE) * (n + m))
 
 
+def _wides(wholes: DataFrame, owns: DataFrame) -> DataFrame:
+    """own and wide (its wide parities) of the sets named in owns (own)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flips = [wide(np.frombuffer(x.as_buffer(), np.uint64)) for x in batch.column("whole")]
+            yield arrow({"own": (batch.column("own"), None), "wide": (flips, pa.list_(pa.int64()))})
+
+    return wholes.join(owns, "own", "left_semi").mapInArrow(run, "own long, wide array<long>")
+
+
+def _fits_widely(a: str, b: str) -> Column:
+    """_fits of wide parities, for sets that fit: one of them may have twice as many longs."""
+    x, y = F.col(f"{a}wide"), F.col(f"{b}wide")
+    longs = F.least(F.size(x), F.size(y))
+    xor = lambda p, q: p.bitwiseXOR(q)
+    short = lambda c: F.when(F.size(c) == longs, c).otherwise(F.zip_with(F.slice(c, 1, longs), F.slice(c, longs + 1, longs), xor))
+    apart = F.aggregate(F.zip_with(short(x), short(y), xor), F.lit(0), lambda have, v: have + F.bit_count(v))
+    return (100 + ALIKE) * apart <= (100 - ALIKE) * (F.col(f"{a}n") + F.col(f"{b}n"))
+
+
 def _verified(wholes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs a, b that are similar. The set of a moves to b, of which many pairs may be; Spark splits such a join."""
 
@@ -246,7 +276,9 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     flips = [f"p{k}" for k in range(PARITY)]
     sizes = rows.where("n > 0").groupBy("own").agg(*[F.first(c).alias(c) for c in ("n", *flips)])
     owns = stash(hits.groupBy("own").agg(F.count("*").alias("meets")).join(sizes, "own").select("own", "n", *flips, (F.col("meets") / F.col("n")).alias("share")), "owns")
-    hits = stash(hits.join(owns, "own"), "met")
+    # near copies share many signatures; of those that the same sets give, one is enough
+    same = hits.groupBy("sig").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("own")).alias("x"), F.bit_xor(F.xxhash64("own", F.lit(1))).alias("y"))
+    hits = stash(hits.join(same.groupBy("sets", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "sig").join(owns, "own"), "met")
     wholes = stash(whole_sets(docs, owns.select("own")), "wholes")
 
     centre = hits.groupBy("sig").agg(F.max(F.struct("share", "own", "n", *flips)).alias("centre"))
@@ -269,9 +301,10 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     for c in ("root", "most"):
         several = several.join(joined.select(F.col("node").alias(c), F.col("root").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
     several = stash(several.where("root != most").select("sig").distinct().join(several, "sig"), "several")
+    several = several.select("sig", "own", "root", "most", "n", *flips).join(stash(_wides(wholes, several.select("own").distinct()), "wides"), "own")
     a, b = several.where("root != most").alias("a"), several.alias("b")
     once = (F.col("b.root") == F.col("b.most")) | (F.col("a.own") < F.col("b.own"))
-    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.root") != F.col("b.root")) & once & _fits("a.", "b.")).select(F.col("a.own").alias("a"), F.col("b.own").alias("b"))
+    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.root") != F.col("b.root")) & once & _fits("a.", "b.") & _fits_widely("a.", "b.")).select(F.col("a.own").alias("a"), F.col("b.own").alias("b"))
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     known = stars.unionByName(tried.select("a", "b"))
     rest = pairs.join(known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")

@@ -124,3 +124,34 @@ def test_copies_unlike_their_centre_are_not_compared_with_all_others(spark, monk
     got = by_id(part_enum.similar_texts(documents(spark, values)))
     assert [got[i]["component_id"] for i in range(150)] == components(values)
     assert sum(compared) <= 3 * len(values)
+
+
+def test_members_just_not_alike_are_ruled_out_by_the_join(spark, monkeypatch):
+    """Copies with five changes each, ten apart: similarities of about 0.82, which parities of 256 bits don't tell from 0.85."""
+    rnd = random.Random(5)
+    values = []
+    for i in range(70):
+        words = [f"b{k}" for k in range(400)]
+        for at in rnd.sample(range(5, 395, 5), 5):
+            words[at] = f"x{i}_{at}"
+        values.append(" ".join(words))
+    compared, verified = [], part_enum._verified
+    monkeypatch.setattr(part_enum, "_verified", lambda wholes, pairs: compared.append(pairs.count()) or verified(wholes, pairs))
+    got = by_id(part_enum.similar_texts(documents(spark, values)))
+    assert [got[i]["component_id"] for i in range(70)] == components(values)
+    assert compared[-1] <= len(values)
+
+
+def test_wide_parities_fold_and_never_rule_out_alike_sets(spark):
+    rnd = random.Random(6)
+    rows = []
+    for size in [5, 900, 1020, 1024, 1025, 1100, 2048, 2100, 5000]:
+        common = [rnd.getrandbits(63) for _ in range(size)]
+        for k in (0, size // 30, 15 * size // 200):
+            one, two = np.array(sorted(common[k:]), np.uint64), np.array(sorted(common + [rnd.getrandbits(63) for _ in range(k)]), np.uint64)
+            both = len(set(one.tolist()) & set(two.tolist()))
+            if 100 * both >= 85 * (len(one) + len(two) - both):
+                rows.append((len(one), part_enum.wide(one).tolist(), len(two), part_enum.wide(two).tolist()))
+    assert len(rows) > 15 and any(len(r[1]) != len(r[3]) for r in rows)
+    df = spark.createDataFrame(rows, "n long, wide array<long>, m long, other array<long>").select(F.struct("n", "wide").alias("a"), F.struct(F.col("m").alias("n"), F.col("other").alias("wide")).alias("b"))
+    assert df.where(part_enum._fits_widely("a.", "b.")).count() == len(rows)
