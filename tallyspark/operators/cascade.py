@@ -31,8 +31,13 @@ def contexts(items: DataFrame) -> DataFrame:
 
 
 def entries(aliases: DataFrame) -> DataFrame:
-    """Aliases by their lower-case texts without outer spaces; blank ones go. aliases: alias, canonical_name, category, priority, seq."""
-    return aliases.select(text.folded(F.col("alias")).alias("alias"), "canonical_name", "category", F.col("priority").cast("int").alias("priority"), "seq").where("alias <> ''")
+    """Aliases by their lower-case texts without outer spaces, equal ones as one row with their number (entries) and first seq; blank ones go. aliases: alias, canonical_name, category, priority, seq."""
+    rows = aliases.select(text.folded(F.col("alias")).alias("alias"), "canonical_name", "category", F.col("priority").cast("int").alias("priority"), "seq").where("alias <> ''")
+    return rows.groupBy("alias", "canonical_name", "category", "priority").agg(F.count("*").alias("entries"), F.min("seq").alias("seq"))
+
+
+def _total(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("alias").agg(F.sum("entries").alias("_total"), F.min("canonical_name").alias("_only"))
 
 
 def by_category(rows: DataFrame) -> DataFrame:
@@ -43,7 +48,7 @@ def by_category(rows: DataFrame) -> DataFrame:
     """
     words, plain = F.replace("canonical_name", F.lit("_"), F.lit(" ")), text.trimmed(F.replace(F.replace("alias", F.lit("&"), F.lit("and")), F.lit("-"), F.lit(" ")))
     score = F.when(words == plain, 100).when(F.contains(plain, words) | F.contains(words, plain), 50 + F.length(words))
-    each = rows.groupBy("alias", "category", "canonical_name").agg(F.count("*").alias("n"), F.min("priority").alias("p"), F.min("seq").alias("seq"))
+    each = rows.groupBy("alias", "category", "canonical_name").agg(F.sum("entries").alias("n"), F.min("priority").alias("p"), F.min("seq").alias("seq"))
     like = F.max(F.when(score.isNotNull(), F.struct(score.alias("score"), (-F.col("seq")).alias("seq"), "canonical_name"))).alias("like")
     level = each.groupBy("alias", "category", F.coalesce("p", F.lit(LAST)).alias("p")).agg(F.sum("n").alias("n"), F.count("p").alias("known"), F.min("canonical_name").alias("name"), like)
     found = level.groupBy("alias", "category").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.min(F.struct("p", "n", "name")).alias("least"), F.max("like").alias("like"))
@@ -51,19 +56,18 @@ def by_category(rows: DataFrame) -> DataFrame:
     return found.select("alias", "category", "n", F.when(F.col("n") == 1, F.col("least.name")).alias("one"), F.when(F.col("known") > 0, alone).alias("winner"), F.col("like.canonical_name").alias("named"))
 
 
-def disambiguated(mapped: DataFrame, items: DataFrame, aliases: DataFrame) -> DataFrame:
+def disambiguated(mapped: DataFrame, items: DataFrame, rows: DataFrame) -> DataFrame:
     """Mapped (label once, canonical_name, ...) with names that exact aliases and the categories of a label's rows speak for, and resolved_by.
 
     A name of none of these categories gives way to the first category's only entry (category). Where a category has several
     entries, the one of least priority does (priority), or the one that is named most like the label (name), if it is another
     one; the first category that has such a one counts. What is unmapped takes the first category's only entry (rescued) or
     the one of least priority (rescued_priority), or the alias's only entry of all (rescued_global). Confidences stay.
+    rows: of entries().
     """
-    rows = entries(aliases)
-    total = rows.groupBy("alias").agg(F.count("*").alias("_total"), F.min("canonical_name").alias("_only"))
     own = rows.groupBy("alias", "canonical_name").agg(F.min_by("category", "seq").alias("_own"))
     m = mapped.select("label", "canonical_name").withColumn("alias", text.folded(F.col("label")))
-    m = m.join(total, "alias").join(own, ["alias", "canonical_name"], "left")
+    m = m.join(_total(rows), "alias").join(own, ["alias", "canonical_name"], "left")
     met = m.join(contexts(items), "label").join(by_category(rows), ["alias", "category"])
     pick = lambda name, by: F.when(name.isNotNull(), F.struct(name.alias("name"), F.lit(by).alias("by")))
     other = lambda c: F.when(F.col(c) != F.col("canonical_name"), F.col(c))
@@ -80,15 +84,15 @@ def disambiguated(mapped: DataFrame, items: DataFrame, aliases: DataFrame) -> Da
     return mapped.join(chosen, "label", "left").withColumns({"canonical_name": F.coalesce("_choice.name", "canonical_name"), "resolved_by": F.col("_choice.by")}).drop("_choice")
 
 
-def rescued(mapped: DataFrame, items: DataFrame, aliases: DataFrame, least: float = 80.0) -> DataFrame:
+def rescued(mapped: DataFrame, items: DataFrame, rows: DataFrame, least: float = 80.0) -> DataFrame:
     """What is still unmapped by the most similar alias (label without numbering and units, token-sort ratio of least; ties to the smaller alias).
 
     The alias must have one entry in the label's first category; or none there (or no category) and one of all. Such a row
     gets the ratio as its confidence, to three digits, and method and resolved_by fuzzy_alias. Only unmapped labels are scored.
+    rows: of entries().
     """
-    rows = entries(aliases)
     plain = mapped.where(F.col("canonical_name") == UNMAPPED).select("label", text.folded(text.label(F.col("label"))).alias("text")).where("text <> ''")
-    total = rows.groupBy("alias").agg(F.count("*").alias("_total"), F.min("canonical_name").alias("_only"))
+    total = _total(rows)
     scores = fuzzy_scores(plain.select(F.col("text").alias("label")), total.select("alias"), least)
     best = scores.groupBy(F.col("label").alias("text")).agg(F.min_by(F.struct("alias", "score"), F.struct(-F.col("score"), F.col("alias"))).alias("best")).select("text", "best.*")
     category = contexts(items).groupBy("label").agg(F.min_by("category", "pos").alias("category"))
@@ -116,19 +120,22 @@ def cascade(items: DataFrame, before: Sequence[tuple[str, Give, float]], mapper:
     category) lacks are unmapped with confidence 0, as are labels it says nothing of. Only the mapper's rows are
     disambiguated, and rescued by similarity unless least is None. J18: names that are deprecated (name, target) become their
     target in all rows, one hop. J11: category is unknown for names that vocabulary lacks. Labels of null have no row.
+
+    Items, vocabulary and aliases are read once: what stays of the items is a row for each label, sheet and section.
     """
-    rest, known = settled(items.select("label").where("label is not null").distinct()), []
+    items = settled(items.where("label is not null").groupBy("label", "sheet", "section_category").agg(F.min("seq").alias("seq")))
+    rest, known = settled(items.select("label").distinct()), []
     for method, give, enough in before:
         rows = _best(give(rest).where(F.col("confidence") >= enough)).join(rest, "label", "left_semi")
         known.append(settled(rows.withColumn("method", F.lit(method))))
         rest = settled(rest.join(known[-1], "label", "left_anti"))
-    names = vocabulary.groupBy("canonical_name").agg(F.min("category").alias("category"))
+    names, known_as = settled(vocabulary.groupBy("canonical_name").agg(F.min("category").alias("category"))), settled(entries(aliases))
     said = rest.join(_best(mapper(rest)), "label", "left").join(names, "canonical_name", "left")
     valid = F.col("category").isNotNull() | (F.col("canonical_name") == UNMAPPED)
     said = said.select("label", F.when(valid, F.col("canonical_name")).otherwise(UNMAPPED).alias("canonical_name"), F.when(valid, F.col("confidence")).otherwise(0.0).alias("confidence"), F.lit("mapper").alias("method"))
-    said = disambiguated(settled(said), items, aliases)
+    said = disambiguated(settled(said), items, known_as)
     if least is not None:
-        said = rescued(settled(said), items, aliases, least)
+        said = rescued(settled(said), items, known_as, least)
     for rows in known:
         said = said.unionByName(rows.withColumn("resolved_by", F.lit(None).cast("string")))
     gone = redirects.where(F.col("name") != UNMAPPED).groupBy("name").agg(F.min("target").alias("target"))

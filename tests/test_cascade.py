@@ -159,3 +159,15 @@ def test_two_entries_of_a_name_have_no_only_one(spark):
 def test_sheets_have_the_first_category_that_fits(spark):
     rows = spark.createDataFrame([("Cash Flow & Debt",), ("DEBT SCHEDULE",), ("Sheet1",), (None,)], "s string")
     assert [r[0] for r in rows.select(text.sheet_category(rows.s)).collect()] == ["cash_flow", "debt_schedule", None, None]
+
+
+def test_items_and_aliases_are_read_once(spark):
+    items, aliases, *given = made(368)
+    read = {name: spark.sparkContext.accumulator(0) for name in ("items", "aliases")}
+
+    def counted(rows, name):
+        count = read[name]
+        return spark.sparkContext.parallelize(rows, 2).map(lambda r: count.add(1) or r)
+
+    got, want = run(spark, (counted(items, "items"), counted(aliases, "aliases"), *given), 80.0), run(spark, (items, aliases, *given), 80.0)
+    assert got == want and {k: v.value for k, v in read.items()} == {"items": len(items), "aliases": len(aliases)}
