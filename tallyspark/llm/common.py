@@ -53,6 +53,11 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", pi
     return left.where(hot).join(F.broadcast(right.where(hot)), key, how).unionByName(left.where(~hot).join(right.where(~hot), key, how))
 
 
+def join_long(left: DataFrame, right: DataFrame, on: Column | str | list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, both dealt by their keys and sorted, never broadcast. For sides that Spark sizes too low: it takes exploded rows for as many as they were made from, and arrays for one element."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """Like stash, in buckets of the key: joins and groups on it that read the result don't shuffle it."""
     spark = df.sparkSession

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, as_bytes, join_hot, slices, stash
+from .common import arrow, as_bytes, join_hot, join_long, slices, stash
 from .components import components
 
 SEED, MASK, BLOCK = 42, 0xFFFFFFFF, 1 << 16
@@ -69,7 +69,7 @@ def links(fps: DataFrame, crowd: int = 16) -> DataFrame:
     crowded = stash(table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"), "crowded")
     near = (F.bit_count(F.col("other").bitwiseXOR(F.col("fp"))) <= 2) & (F.col("other") != F.col("fp")) & (~F.col("same") | (F.col("other") < F.col("fp")))
     a, b = ball.join(crowded, "key", "left_anti").alias("a"), table.join(crowded, "key", "left_anti").alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & near).select(F.col("other").alias("a"), F.col("fp").alias("b"))
+    pairs = join_long(a, b, (F.col("a.key") == F.col("b.key")) & near).select(F.col("other").alias("a"), F.col("fp").alias("b"))
     touching = ball.join(crowded, "key", "left_semi").select(F.col("other").alias("fp")).distinct()
     steps = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)])
     points = touching.select("fp", F.explode(steps).alias("step")).select("fp", F.col("fp").bitwiseXOR(F.col("step")).alias("point"))

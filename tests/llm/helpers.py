@@ -26,3 +26,8 @@ def documents(spark, values: list[str | None] | None = None, first: int = 0):
 
 def by_id(df, key: str = "doc_id") -> dict:
     return {r[key]: r for r in df.collect()}
+
+
+def broadcast_joins(df) -> list[str]:
+    """The plan's inner joins that broadcast a side."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x and "Inner" in x]

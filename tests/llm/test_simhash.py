@@ -7,7 +7,7 @@ from xxhash import xxh64_intdigest
 from tallyspark.llm import simhash
 from tallyspark.llm.components import components
 
-from .helpers import KIND, documents
+from .helpers import KIND, broadcast_joins, documents
 
 
 def slow_fingerprint(text):
@@ -77,3 +77,9 @@ def test_empty_null_ids(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], KIND)).count() == 0
     docs = documents(spark, ["same words here", "same words here"]).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
     assert {r.component_id for r in simhash.near_duplicates(docs).collect()} == {1}
+
+
+def test_points_of_fingerprints_are_not_broadcast(spark, tmp_path):
+    spark.range(500).selectExpr("xxhash64(id) fp").write.parquet(f"{tmp_path}/fps")
+    found = simhash.links(spark.read.parquet(f"{tmp_path}/fps"))
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString() and not broadcast_joins(found)
