@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import lm
 from .codes import ascending, mixed, numbers, spread, squeezed
-from .common import arrow, bucketed, stash
+from .common import arrow, bucketed, join_long, stash
 from .components import components
 
 #: Similarity from which texts are near copies, in fifths; words of a shingle; bits of a shingle's hash that are compared.
@@ -186,7 +186,7 @@ def links(found: DataFrame) -> DataFrame:
     at = stash(shared.select("own", "n", "alone", "hash", "place").join(roots.withColumnRenamed("node", "own"), "own", "left").withColumn("root", F.coalesce("root", "own")), "rooted")
     most = at.groupBy("hash", "root").count().groupBy("hash").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("hash", "most")
     heads = found.where("size(head) > 0").dropDuplicates(["own"]).select("own", "head")
-    several = stash(at.join(most, "hash").join(heads, "own"), "several")
+    several = stash(join_long(at.join(most, "hash"), heads, "own"), "several")
     a, b = several.where("root != most").alias("a"), several.alias("b")
     # a pair is met at its first common shingle only; those before it aren't in both
     first_common = F.array_intersect("a.head", "b.head")[0] == F.col("a.hash")
@@ -195,5 +195,5 @@ def links(found: DataFrame) -> DataFrame:
     # two sets that both lie outside the most frequent component meet once
     once = (F.col("b.root") == F.col("b.most")) | (F.col("a.own") < F.col("b.own"))
     meet = (F.col("a.hash") == F.col("b.hash")) & (F.col("a.root") != F.col("b.root")) & _near("a.", "b.") & enough & once & first_common
-    pairs = a.join(b, meet).select(F.greatest("a.own", "b.own").alias("a"), F.least("a.own", "b.own").alias("b")).distinct()
+    pairs = join_long(a, b, meet).select(F.greatest("a.own", "b.own").alias("a"), F.least("a.own", "b.own").alias("b")).distinct()
     return first.unionByName(_verified(found, pairs.join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")))

@@ -3,9 +3,9 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from tallyspark.llm import rule_ensemble, simhash, stages, toxicity
+from tallyspark.llm import rule_ensemble, shingles, simhash, stages, toxicity
 
-from .helpers import KIND, documents
+from .helpers import KIND, broadcast_joins, documents
 from .test_quality import labelled
 from .test_simhash import slow_components, slow_fingerprint
 
@@ -82,6 +82,13 @@ def test_near_copies_by_shingles_go(spark):
     assert sorted(r.doc_id for r in stages.keep_one_of_each(spark, docs, "").collect()) == sorted(set(range(len(texts))) - gone)
 
 
+def test_rows_with_arrays_are_not_broadcast(spark, monkeypatch):
+    seen, verified = [], shingles._verified
+    monkeypatch.setattr(shingles, "_verified", lambda found, pairs: seen.append(broadcast_joins(pairs)) or verified(found, pairs))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0.1, "x") for i, t in enumerate(near_copies())], KIND)
+    assert shingles.links(shingles.sets(docs, ["doc_id"])).count() and seen == [[], []]
+
+
 def test_other_texts_of_the_same_id_stay(spark):
     texts = near_copies()[:3]
     docs = spark.createDataFrame([(i, t, "en", "s", 1, 0.1, "x") for i, t in ((1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[1]), (3, texts[2]))], KIND)
